@@ -4,13 +4,48 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from . import history, overlap
+from . import bpe, history, overlap, sample, splits
 
 
 def table(spark: SparkSession, sf: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf}/{name}.parquet")
 
 
+def _documents_of_samples(spark: SparkSession, sf: str) -> DataFrame:
+    rows = table(spark, sf, "corpus_rows").select("sample_id", "source_id", splits.document_name(F.col("document_id")).alias("doc_key")).distinct()
+    key = F.when(F.col("doc_key").isNotNull(), F.concat_ws("/", F.col("source_id").cast("string"), "doc_key"))
+    return splits.components(rows, "sample_id", [key])
+
+
+def p2_found(spark: SparkSession, sf: str) -> DataFrame:
+    """Documents that the existing evaluation splits tear apart."""
+    split = F.lower(F.trim("evaluation_split"))
+    members = table(spark, sf, "dataset_reservation_samples").select("sample_id", split.alias("split")).filter(F.col("split").isin("dev", "test")).distinct()
+    joined = _documents_of_samples(spark, sf).filter("doc_key is not null").join(members, "sample_id")
+    return splits.torn(joined, "split", ["source_id", "doc_key"]).select("source_id", "doc_key")
+
+
+def p2_split(spark: SparkSession, sf: str) -> DataFrame:
+    """Every sample's document and its split, 0.8 / 0.1 / 0.1."""
+    return _documents_of_samples(spark, sf).select("sample_id", "source_id", "doc_key", splits.assign(F.col("component")).alias("split"))
+
+
+#: Sampling rate of p4: the inclusion probability of a record of weight 1.
+P4_RATE = 0.1
+
+
+def p4_sample(spark: SparkSession, sf: str) -> DataFrame:
+    """A sample of samples.id weighted by quality (0.5 where unknown), of which reviews may raise the weight."""
+    first = table(spark, sf, "samples").select("id", F.coalesce("quality", F.lit(0.5)).alias("weight"))
+    reviewed = table(spark, sf, "annotations").join(first.select("id"), F.col("sample_id") == first["id"], "left_semi").select(F.col("sample_id").alias("id"), F.col("quality").alias("weight"))
+    return sample.poisson_sample(sample.running_weights(first.unionByName(reviewed)), P4_RATE).select(F.col("id").alias("sample_id"), "weight")
+
+
+def p8_ids(spark: SparkSession, sf: str, ranks: str = "/opt/tokenizers/byte_bpe_50k.tiktoken") -> DataFrame:
+    """Token ids of every document by byte_bpe_50k."""
+    return bpe.encode_column(table(spark, sf, "documents"), "doc_id", "text", ranks)
+
+
 def _ordered(pairs: DataFrame, a: str, b: str) -> DataFrame:
     return pairs.select(F.least(a, b).alias("sample_id_a"), F.greatest(a, b).alias("sample_id_b")).distinct()
 
@@ -42,5 +77,25 @@ def p7_found(spark: SparkSession, sf: str) -> DataFrame:
     return _ordered(history.against_history(table(spark, sf, "corpus_rows"), state, "sample_id", "source_text", "target_text"), "id_new", "id_old")
 
 
-QUERIES = {f.__name__: f for f in (p3_found, p3_counts, p7_found)}
-SQL: dict[str, str] = {}
+QUERIES = {f.__name__: f for f in (p2_found, p2_split, p3_found, p3_counts, p4_sample, p7_found, p8_ids)}
+
+_DOC_KEY = "nullif(regexp_replace(regexp_replace(regexp_replace(lower(document_id), '^\\s+|\\s+$', '', 'g'), '(\\s+part\\s+[0-9]+|[:#/|]\\s*(chunk|part|p\\.|c)?\\s*[0-9]+)$', ''), '\\s+$', ''), '')"
+_DOCS = f"select distinct sample_id, source_id, {_DOC_KEY} as doc_key from corpus_rows"
+
+
+def _split_score(name: str, weight: float, seed: int = 42) -> str:
+    return f"(-{weight} / ln((('0x' || substr(md5(component || '-{seed}-{name}'), 1, 12))::BIGINT + 0.5) / {16.0**12!r}))"
+
+
+SQL: dict[str, str] = {
+    "p2_found": f"""select d.source_id, d.doc_key from ({_DOCS}) d join dataset_reservation_samples m on m.sample_id = d.sample_id
+        where d.doc_key is not null and lower(trim(m.evaluation_split)) in ('dev', 'test')
+        group by d.source_id, d.doc_key having count(distinct lower(trim(m.evaluation_split))) = 2""",
+    "p2_split": f"""with d as ({_DOCS}), c as (select *, coalesce(source_id || '/' || doc_key, 'record ' || sample_id) as component from d),
+        s as (select *, {", ".join(f"{_split_score(n, w)} as s_{n}" for n, w in splits.PROPORTIONS.items())} from c)
+        select sample_id, source_id, doc_key, case when s_train >= s_validation and s_train >= s_test then 'train' when s_validation >= s_test then 'validation' else 'test' end as split from s""",
+    "p4_sample": f"""with o as (select id, coalesce(quality, 0.5) as w from samples
+            union all select sample_id, quality from annotations where sample_id in (select id from samples)),
+        m as (select id, max(greatest(coalesce(w, 0.0), 0.0)) as weight from o where id is not null group by id)
+        select id as sample_id, weight from m where {sample.sql_chosen("weight", "id", P4_RATE)}""",
+}
