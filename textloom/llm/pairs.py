@@ -9,8 +9,8 @@ module holds what the cross-split join (``overlap``) and the history index
                   hash that is equal for records written alike;
 * ``term_counts`` rows per hash bucket over all records: the global order;
 * ``emit_keys``   posting keys of each record's rare prefix.  Terms whose
-                  posting list would exceed ``hot`` rows are split by a second
-                  term, so no key gathers an unbounded group and no pair is lost;
+                  posting list would exceed ``hot`` rows are posted together with
+                  further terms only, and no pair is lost;
 * ``signature``   64-bit parity bitmap per side; the bits in which two differ
                   never exceed the words in which the sets differ, so testing
                   them inside the join drops unrelated pairs and no related one;
@@ -22,6 +22,8 @@ near-same to nothing.
 
 from __future__ import annotations
 
+import itertools
+
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, functions as F
@@ -34,6 +36,8 @@ THRESHOLD = 0.75
 BUCKETS = 1 << 17
 #: Rows that one posting key may gather before it is split by a second term.
 HOT_ROWS = 1000
+#: Words of the rows whose hot tails are posted by single terms, pairs, triples.
+TAIL_KINDS = {1: (512, 1 << 40), 2: (96, 512), 3: (0, 96)}
 #: Ids up to this many are broadcast to thin a table before its shuffle; above, it is shuffled.
 BROADCAST_IDS = 200_000
 
@@ -100,37 +104,55 @@ def by_rarity(words: np.ndarray, offs: np.ndarray, counts: np.ndarray) -> tuple[
     return words[order], n[order]
 
 
-def emit_keys(words: np.ndarray, counts: np.ndarray, offs: np.ndarray, p1: np.ndarray, p2: np.ndarray, alone: np.ndarray, hot: int = HOT_ROWS) -> tuple[np.ndarray, np.ndarray]:
+def _per_row(count: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """For count[r] items of each row r: the row of every item and its number within the row."""
+    row = np.repeat(np.arange(len(count)), count)
+    return row, np.arange(len(row)) - np.repeat(np.cumsum(count) - count, count)
+
+
+def emit_keys(words: np.ndarray, counts: np.ndarray, offs: np.ndarray, p: list[np.ndarray], enough: list[np.ndarray], hot: int = HOT_ROWS) -> tuple[np.ndarray, np.ndarray]:
     """Posting keys as (row, key), distinct.
 
-    words: rarest first.  Any qualifying pair shares a term among both rows'
-    first p1 and, unless *alone*, two terms among both rows' first p2.  A rare
-    term is a key by itself; a hot one only together with each other term of p2
-    (and by itself where *alone*: there a single shared term can be enough).
+    words: rarest first.  Any qualifying pair shares at least m terms among both
+    rows' first p[m - 1], for m = 1, 2, 3, unless enough[m - 2] says that m - 1
+    shared terms can do for this row.
+
+    Terms of up to *hot* rows in the first prefix are keys by themselves.  Where
+    that prefix also holds hot terms, all terms after it are hot as well; a pair
+    that shares no rare term then shares m hot ones, so the m-subsets of the hot
+    tail are keys: triples for short rows, pairs and single terms for longer
+    ones, whose tails have too many triples.  Partners differ in length by at
+    most 1 / THRESHOLD; rows near a border between the kinds get both.
     """
-    base, p1, p2 = offs[:-1], np.minimum(p1, np.diff(offs)), np.minimum(p2, np.diff(offs))
-    row = np.repeat(np.arange(len(base)), p1)
-    at = base[row] + np.arange(len(row)) - np.repeat(np.cumsum(p1) - p1, p1)
-    h = tb.mix(words[at].astype(np.uint64) + np.uint64(0xA5A5A5A5A5))
-    is_hot = counts[at] > hot
-    rows, keys = [row[~is_hot]], [h[~is_hot]]
-    one = is_hot & alone[row]
-    rows.append(row[one])
-    keys.append(tb.mix(h[one]))
-    hrow, hat, hh = row[is_hot], at[is_hot], h[is_hot]
-    many = p2[hrow]
-    j = base[np.repeat(hrow, many)] + np.arange(many.sum()) - np.repeat(np.cumsum(many) - many, many)
-    i, left = np.repeat(hat, many), np.repeat(hh, many)
-    right = tb.mix(words[j].astype(np.uint64) + np.uint64(0xA5A5A5A5A5))
-    other = i != j
-    rows.append(np.repeat(hrow, many)[other])
-    keys.append(tb.mix(np.minimum(left, right)[other] * np.uint64(31) + np.maximum(left, right)[other]))
-    r, k = np.concatenate(rows), np.concatenate(keys)
-    order = np.lexsort((k, r))
-    r, k = r[order], k[order]
+    size = np.diff(offs)
+    base, p = offs[:-1], [np.minimum(x, size) for x in p]
+    h = tb.mix(words.astype(np.uint64) + np.uint64(0xA5A5A5A5A5))
+    row, k = _per_row(p[0])
+    at = base[row] + k
+    rare = counts[at] <= hot
+    rows, keys = [row[rare]], [h[at[rare]]]
+    n_rare = np.bincount(row[rare], minlength=len(size))
+    tail = n_rare < p[0]
+    edge = 1 / THRESHOLD
+    for m in (1, 2, 3):
+        lo, hi = TAIL_KINDS[m]
+        does = tail & (((size > lo / edge) & (size <= hi * edge)) | (enough[m - 1] if m < 3 else False))
+        length = np.where(does, p[m - 1] - n_rare, 0)
+        for n in np.unique(length[length >= m]):
+            which = np.flatnonzero(length == n)
+            sets = np.array(list(itertools.combinations(range(n), m)))
+            terms = np.sort(h[(base[which] + n_rare[which])[:, None, None] + sets[None]], axis=2)
+            key = terms[:, :, 0]
+            for x in range(1, m):
+                key = tb.mix(key * np.uint64(31) + terms[:, :, x])
+            rows.append(np.repeat(which, len(sets)))
+            keys.append(tb.mix(key + np.uint64(m)).ravel())
+    r, key = np.concatenate(rows), np.concatenate(keys)
+    order = np.lexsort((key, r))
+    r, key = r[order], key[order]
     new = np.ones(len(r), bool)
-    new[1:] = (r[1:] != r[:-1]) | (k[1:] != k[:-1])
-    return r[new], k[new].view(np.int64)
+    new[1:] = (r[1:] != r[:-1]) | (key[1:] != key[:-1])
+    return r[new], key[new].view(np.int64)
 
 
 def signature(words: np.ndarray, offs: np.ndarray) -> np.ndarray:
