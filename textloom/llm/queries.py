@@ -4,13 +4,35 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from . import bpe, history, overlap, sample, splits
+from . import bpe, history, labels, langid, mojibake, overlap, sample, splits
 
 
 def table(spark: SparkSession, sf: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf}/{name}.parquet")
 
 
+_SIDES = {"source": ("src_lang", "source_text"), "target": ("tgt_lang", "target_text")}
+
+
+def p1_segments(spark: SparkSession, sf: str) -> DataFrame:
+    """Language and confidence of each segment of each side: sample_id, side, begin (first word), words, lang, confidence."""
+    rows = table(spark, sf, "corpus_rows")
+    got = labels.written_in(rows, "sample_id", [t for _, t in _SIDES.values()], labels.fit(rows, "sample_id", _SIDES))
+    sides = F.explode(F.array(*[F.struct(F.lit(s).alias("side"), F.col(t).alias("segments")) for s, (_, t) in _SIDES.items()])).alias("x")
+    return got.select(F.col("id").alias("sample_id"), sides).select("sample_id", "x.side", F.inline("x.segments")).distinct()
+
+
+def p1_found(spark: SparkSession, sf: str) -> DataFrame:
+    """Sides whose label is missing or wrong, or that mix languages, with each language they are written in."""
+    rows = table(spark, sf, "corpus_rows")
+    got = labels.written_in(rows, "sample_id", [t for _, t in _SIDES.values()], labels.fit(rows, "sample_id", _SIDES))
+    langs = got.select("id", *[F.array_distinct(F.transform(t, lambda x: x["lang"])).alias(s) for s, (_, t) in _SIDES.items()])
+    named = table(spark, sf, "samples").select("id", *[langid.primary(F.col(label)).alias(f"{s}_label") for s, (label, _) in _SIDES.items()])
+    sides = F.explode(F.array(*[F.struct(F.lit(s).alias("side"), F.col(s).alias("langs"), F.col(f"{s}_label").alias("label")) for s in _SIDES])).alias("x")
+    cases = langs.join(named, "id").select("id", sides).filter("size(x.langs) > 1 or (size(x.langs) = 1 and not (x.langs[0] <=> x.label))")
+    return cases.select(F.col("id").alias("sample_id"), "x.side", F.explode("x.langs").alias("lang")).distinct()
+
+
 def _documents_of_samples(spark: SparkSession, sf: str) -> DataFrame:
     rows = table(spark, sf, "corpus_rows").select("sample_id", "source_id", splits.document_name(F.col("document_id")).alias("doc_key")).distinct()
     key = F.when(F.col("doc_key").isNotNull(), F.concat_ws("/", F.col("source_id").cast("string"), "doc_key"))
@@ -41,6 +63,17 @@ def p4_sample(spark: SparkSession, sf: str) -> DataFrame:
     return sample.poisson_sample(sample.running_weights(first.unionByName(reviewed)), P4_RATE).select(F.col("id").alias("sample_id"), "weight")
 
 
+def p6_found(spark: SparkSession, sf: str) -> DataFrame:
+    """Sides with text read in the wrong encoding."""
+    return p6_restored(spark, sf).select("sample_id", "side")
+
+
+def p6_restored(spark: SparkSession, sf: str) -> DataFrame:
+    """Garbled sides with the restored text, and whether characters are lost."""
+    got = mojibake.repair(table(spark, sf, "corpus_rows"), "sample_id", {s: t for s, (_, t) in _SIDES.items()})
+    return got.select(F.col("id").alias("sample_id"), "side", "lost", "restored").dropDuplicates(["sample_id", "side"])
+
+
 def p8_ids(spark: SparkSession, sf: str, ranks: str = "/opt/tokenizers/byte_bpe_50k.tiktoken") -> DataFrame:
     """Token ids of every document by byte_bpe_50k."""
     return bpe.encode_column(table(spark, sf, "documents"), "doc_id", "text", ranks)
@@ -77,7 +110,7 @@ def p7_found(spark: SparkSession, sf: str) -> DataFrame:
     return _ordered(history.against_history(table(spark, sf, "corpus_rows"), state, "sample_id", "source_text", "target_text"), "id_new", "id_old")
 
 
-QUERIES = {f.__name__: f for f in (p2_found, p2_split, p3_found, p3_counts, p4_sample, p7_found, p8_ids)}
+QUERIES = {f.__name__: f for f in (p1_found, p1_segments, p2_found, p2_split, p3_found, p3_counts, p4_sample, p6_found, p6_restored, p7_found, p8_ids)}
 
 _DOC_KEY = "nullif(regexp_replace(regexp_replace(regexp_replace(lower(document_id), '^\\s+|\\s+$', '', 'g'), '(\\s+part\\s+[0-9]+|[:#/|]\\s*(chunk|part|p\\.|c)?\\s*[0-9]+)$', ''), '\\s+$', ''), '')"
 _DOCS = f"select distinct sample_id, source_id, {_DOC_KEY} as doc_key from corpus_rows"
