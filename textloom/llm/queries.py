@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from . import bpe, history, labels, langid, mojibake, overlap, sample, splits
+from . import bpe, history, labels, langid, leakage, mojibake, overlap, sample, splits, topics
 
 
 def table(spark: SparkSession, sf: str, name: str) -> DataFrame:
@@ -79,6 +79,26 @@ def p8_ids(spark: SparkSession, sf: str, ranks: str = "/opt/tokenizers/byte_bpe_
     return bpe.encode_column(table(spark, sf, "documents"), "doc_id", "text", ranks)
 
 
+def p9_found(spark: SparkSession, sf: str) -> DataFrame:
+    """Documents with the evaluation items that they hold."""
+    return leakage.leaked(table(spark, sf, "documents"), table(spark, sf, "eval_items"), "doc_id", "text", "item_id", "text")
+
+
+def _topic_model(spark: SparkSession, sf: str):
+    subjects = sorted(r.subject for r in table(spark, sf, "subject_areas").select("subject").distinct().collect())  # fixed, 8 rows
+    return topics.fit(table(spark, sf, "documents"), table(spark, sf, "doc_labels"), subjects, "doc_id", "text", "doc_id", "subject")
+
+
+def p10_found(spark: SparkSession, sf: str) -> DataFrame:
+    """Subject areas of each document."""
+    return topics.assigned(topics.proportions(*_topic_model(spark, sf))).withColumnRenamed("id", "doc_id")
+
+
+def p10_proportions(spark: SparkSession, sf: str) -> DataFrame:
+    """Share of each subject in the mentions of each document."""
+    return topics.proportions(*_topic_model(spark, sf)).withColumnRenamed("id", "doc_id")
+
+
 def _ordered(pairs: DataFrame, a: str, b: str) -> DataFrame:
     return pairs.select(F.least(a, b).alias("sample_id_a"), F.greatest(a, b).alias("sample_id_b")).distinct()
 
@@ -110,7 +130,7 @@ def p7_found(spark: SparkSession, sf: str) -> DataFrame:
     return _ordered(history.against_history(table(spark, sf, "corpus_rows"), state, "sample_id", "source_text", "target_text"), "id_new", "id_old")
 
 
-QUERIES = {f.__name__: f for f in (p1_found, p1_segments, p2_found, p2_split, p3_found, p3_counts, p4_sample, p6_found, p6_restored, p7_found, p8_ids)}
+QUERIES = {f.__name__: f for f in (p1_found, p1_segments, p2_found, p2_split, p3_found, p3_counts, p4_sample, p6_found, p6_restored, p7_found, p8_ids, p9_found, p10_found, p10_proportions)}
 
 _DOC_KEY = "nullif(regexp_replace(regexp_replace(regexp_replace(lower(document_id), '^\\s+|\\s+$', '', 'g'), '(\\s+part\\s+[0-9]+|[:#/|]\\s*(chunk|part|p\\.|c)?\\s*[0-9]+)$', ''), '\\s+$', ''), '')"
 _DOCS = f"select distinct sample_id, source_id, {_DOC_KEY} as doc_key from corpus_rows"
