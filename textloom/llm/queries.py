@@ -86,7 +86,7 @@ def p9_found(spark: SparkSession, sf: str) -> DataFrame:
 
 def _topic_model(spark: SparkSession, sf: str):
     subjects = sorted(r.subject for r in table(spark, sf, "subject_areas").select("subject").distinct().collect())  # fixed, 8 rows
-    return topics.fit(table(spark, sf, "documents"), table(spark, sf, "doc_labels"), subjects, "doc_id", "text", "doc_id", "subject")
+    return topics.fit(table(spark, sf, "documents"), table(spark, sf, "doc_labels"), subjects, "doc_id", "text", "lang", "doc_id", "subject")
 
 
 def p10_found(spark: SparkSession, sf: str) -> DataFrame:

@@ -5,9 +5,10 @@
   size is bounded by the mean document length over that share.
 * Topics: one started for each subject from the terms that are over-represented
   in hand-labelled documents (at most ``LABELLED`` of each subject, a documented
-  bound), and ``BACKGROUND`` ones started from the whole corpus.  Variational EM
-  over all documents then moves them wherever the corpus says; each pass is a
-  map with one vocabulary-sized sum per task.
+  bound), one for each language that at least ``LEAST_LANGUAGE`` of the documents
+  are marked with, and one more from the whole corpus.  Variational EM over all
+  documents then moves them; the start of the subject topics stays as their
+  prior.  Each pass is a map with one vocabulary-sized sum per task.
 * A fitted topic gets the subject that its top terms (by lift over the corpus)
   are labelled with; topics whose top terms agree on none are background.
 * A document's topic proportions are counted over mentions: neighbouring words of
@@ -26,30 +27,35 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F
 
 from . import textblock as tb
-from .pairs import row_sums
+from .langid import primary
 from ..hashing import portable_hash
 from ..storage import cut
 
 LEAST_SHARE, LEAST_DOCS = 0.0008, 3
 LABELLED = 2000
-BACKGROUND, PASSES, STEPS = 2, 3, 3
+PASSES, STEPS = 3, 3
+LEAST_LANGUAGE = 0.005
+#: Weight of a subject topic's start as its prior in later passes.
+PRIOR = 0.5
+#: A term speaks for a subject with this many labelled documents, most of them of the subject.
+SUPPORT = 4
 ALPHA, ETA = 0.1, 0.01
 TOP_TERMS = 25
 SHARE, LEAST_MENTIONS = 0.2, 2
 #: Least probability of a subject for a word to be a mention of it.
-SURE = 0.6
+SURE = 0.5
 
 
-def hashed(documents: DataFrame, id_col: str, text_col: str) -> DataFrame:
-    """(id, w): 32-bit hashes of the folded words in order."""
+def hashed(documents: DataFrame, id_col: str, text_col: str, lang_col: str) -> DataFrame:
+    """(id, lang, w): the language it is marked with, and 32-bit hashes of the folded words in order."""
 
     def run(batches):
         for b in batches:
-            for lo, hi in tb.slices(b.column(1)):
-                h, first = tb.hashed_words(b.column(1).slice(lo, hi - lo))
-                yield pa.RecordBatch.from_arrays([b.column(0).slice(lo, hi - lo), tb.list_array((h & 0xFFFFFFFF).astype(np.uint32).view(np.int32), first, pa.int32())], ["id", "w"])
+            for lo, hi in tb.slices(b.column(2)):
+                h, first = tb.hashed_words(b.column(2).slice(lo, hi - lo))
+                yield pa.RecordBatch.from_arrays([b.column(0).slice(lo, hi - lo), b.column(1).slice(lo, hi - lo), tb.list_array((h & 0xFFFFFFFF).astype(np.uint32).view(np.int32), first, pa.int32())], ["id", "lang", "w"])
 
-    return documents.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).cast("string")).mapInArrow(run, "id long, w array<int>")
+    return documents.select(F.col(id_col).cast("long").alias("id"), primary(F.col(lang_col)).alias("lang"), F.col(text_col).cast("string")).mapInArrow(run, "id long, lang string, w array<int>")
 
 
 def clean_labels(labels: DataFrame, id_col: str, label_col: str, subjects: list[str]) -> DataFrame:
@@ -63,10 +69,18 @@ def clean_labels(labels: DataFrame, id_col: str, label_col: str, subjects: list[
     return out
 
 
-def vocabulary(words: DataFrame, labels: DataFrame, n_subjects: int) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
-    """Terms (ascending), occurrences, and documents with each term overall and by labelled subject."""
-    marked = words.join(F.broadcast(labels.groupBy("id").agg(F.collect_set("s").alias("s"))), "id", "left").select("w", "s")  # at most n_subjects * LABELLED rows
-    names = ["n", "df", *(f"s{k}" for k in range(n_subjects))]
+def languages(words: DataFrame) -> list[str]:
+    """Languages that enough documents are marked with; at most 1 / LEAST_LANGUAGE."""
+    n = words.groupBy("lang").agg(F.count("*").alias("n"))
+    total = words.count()
+    return sorted(r.lang for r in n.filter((F.col("n") >= LEAST_LANGUAGE * total) & F.col("lang").isNotNull()).collect())
+
+
+def vocabulary(words: DataFrame, labels: DataFrame, n_subjects: int, langs: list[str]) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """Terms (ascending), occurrences, documents with each term by labelled subject, and occurrences by language."""
+    marked = words.join(F.broadcast(labels.groupBy("id").agg(F.collect_set("s").alias("s"))), "id", "left")  # at most n_subjects * LABELLED rows
+    number = F.coalesce(F.array_position(F.array(*map(F.lit, langs)), F.col("lang")).cast("int") - 1, F.lit(-1)) if langs else F.lit(-1)
+    names = ["n", "df", *(f"s{k}" for k in range(n_subjects)), *(f"l{k}" for k in range(len(langs)))]
 
     def run(batches):
         for b in batches:
@@ -77,36 +91,46 @@ def vocabulary(words: DataFrame, labels: DataFrame, n_subjects: int) -> tuple[np
             doc, term = (key >> np.uint64(32)).astype(np.int64), (key & np.uint64(0xFFFFFFFF)).astype(np.uint32)
             terms, back = np.unique(term, return_inverse=True)
             cols = [np.bincount(back, n, len(terms)), np.bincount(back, minlength=len(terms))]
-            tags = b.column(1).to_pylist()
+            tags, lang = b.column(1).to_pylist(), b.column(2).to_numpy(zero_copy_only=False)
             for k in range(n_subjects):
                 has = np.array([t is not None and k in t for t in tags], bool)
                 cols.append(np.bincount(back, has[doc], len(terms)))
+            for k in range(len(langs)):
+                cols.append(np.bincount(back, n * (lang == k)[doc], len(terms)))
             yield pa.RecordBatch.from_arrays([pa.array(terms.view(np.int32)), *(pa.array(c.astype(np.int64)) for c in cols)], ["t", *names])
 
     total = words.count()
-    sums = marked.mapInArrow(run, "t int, " + ", ".join(f"{c} long" for c in names)).groupBy("t").agg(*[F.sum(c).alias(c) for c in names])
+    sums = marked.select("w", "s", number.alias("g")).mapInArrow(run, "t int, " + ", ".join(f"{c} long" for c in names)).groupBy("t").agg(*[F.sum(c).alias(c) for c in names])
     got = sums.filter(F.col("df") >= max(LEAST_DOCS, LEAST_SHARE * total)).toArrow()
     terms = got.column("t").to_numpy().view(np.uint32)
     order = np.argsort(terms)
     cols = [got.column(c).to_numpy()[order].astype(np.float64) for c in names]
-    return terms[order], cols[0], cols[1], np.stack(cols[2:]) if n_subjects else np.zeros((0, len(terms)))
+    table = np.array(cols).reshape(len(names), len(terms))
+    return terms[order], table[0], table[2 : 2 + n_subjects], table[2 + n_subjects :]
 
 
-def seeds(n: np.ndarray, df: np.ndarray, by_subject: np.ndarray) -> np.ndarray:
-    """Start of the topics (topics x terms): over-represented terms of each subject, then the corpus with small random changes."""
+def subject_seeds(n: np.ndarray, by_subject: np.ndarray) -> np.ndarray:
+    """Start of the subject topics (subjects x terms): the terms over-represented in their labelled documents."""
     labelled = by_subject.sum(0)
-    rng = np.random.default_rng(11)
     rows = []
-    for k in range(len(by_subject)):
-        rest = labelled - by_subject[k]
-        rate = (by_subject[k] + 0.05) / max(by_subject[k].max(initial=0), 1)
-        other = (rest + 0.05) / max(rest.max(initial=0), 1)
-        lift = np.maximum(np.log(rate / other), 0)
-        rows.append(n * lift**2 * (by_subject[k] >= 2) + ETA)
-    rows += [n * rng.uniform(0.9, 1.1, len(n)) + ETA for _ in range(BACKGROUND)]
+    for own in by_subject:
+        rest = labelled - own
+        rate, other = (own + 0.05) / max(own.max(initial=0), 1), (rest + 0.05) / max(rest.max(initial=0), 1)
+        rows.append(n * np.maximum(np.log(rate / other), 0) ** 2 * (own >= 2) + ETA)
     return np.stack(rows)
 
 
+def clear_terms(by_subject: np.ndarray) -> np.ndarray:
+    """Terms that speak for one subject: in enough labelled documents, most of them of that subject."""
+    return (by_subject.sum(0) >= SUPPORT) & (by_subject.max(0, initial=0) > 0.5 * by_subject.sum(0))
+
+
+def background_seeds(n: np.ndarray, by_subject: np.ndarray, by_language: np.ndarray) -> np.ndarray:
+    """Start of the other topics: each language, and the corpus with random changes; hardly any of the subjects' terms."""
+    other = np.where(clear_terms(by_subject), 0.05, 1.0)
+    return np.concatenate([by_language, (0.2 * n * np.random.default_rng(11).uniform(0.5, 1.5, len(n)))[None]]) * other + ETA
+
+
 def bags(words: DataFrame, terms: np.ndarray) -> DataFrame:
     """(id, t): the documents as vocabulary numbers in order, -1 for one or more words outside."""
     shared = words.sparkSession.sparkContext.broadcast(terms)
@@ -125,7 +149,7 @@ def bags(words: DataFrame, terms: np.ndarray) -> DataFrame:
             upto = np.concatenate([[0], np.cumsum(keep)])
             yield pa.RecordBatch.from_arrays([b.column(0), tb.list_array(t[keep].astype(np.int32), upto[offs], pa.int32())], ["id", "t"])
 
-    return words.mapInArrow(run, "id long, t array<int>")
+    return words.select("id", "w").mapInArrow(run, "id long, t array<int>")
 
 
 def _posterior(t: np.ndarray, doc: np.ndarray, n_docs: int, beta: np.ndarray) -> np.ndarray:
@@ -184,13 +208,10 @@ def topic_subjects(beta: np.ndarray, n: np.ndarray, by_subject: np.ndarray) -> t
     usual = (n + 1) / (n + 1).sum()
     score = beta * np.log(np.maximum(beta / usual, 1e-9))
     top = np.argsort(-score, axis=1, kind="stable")[:, :TOP_TERMS]
-    docs = np.maximum(by_subject.max(1, keepdims=True, initial=0), 1)
-    rate = by_subject / docs  # of labelled documents of the subject, about how many hold the term
-    says = np.where(by_subject.sum(0) > 0, rate.argmax(0), -1)
-    clear = rate.max(0, initial=0) > 2 * np.median(rate, axis=0)
+    says, clear = by_subject.argmax(0), clear_terms(by_subject)
     out = np.full(len(beta), -1)
     for k in range(len(beta)):
-        votes = says[top[k]][clear[top[k]] & (says[top[k]] >= 0)]
+        votes = says[top[k]][clear[top[k]]]
         if len(votes) >= TOP_TERMS // 3:
             best = np.bincount(votes, minlength=len(by_subject))
             if best.max() > 0.5 * len(votes):
@@ -207,14 +228,16 @@ class Model:
         self.subject_of, self.top = topic_subjects(self.beta, n, by_subject)
 
 
-def fit(documents: DataFrame, labels: DataFrame, subjects: list[str], id_col: str, text_col: str, label_id: str, label_col: str) -> tuple[Model, DataFrame]:
+def fit(documents: DataFrame, labels: DataFrame, subjects: list[str], id_col: str, text_col: str, lang_col: str, label_id: str, label_col: str) -> tuple[Model, DataFrame]:
     """The model fitted on all documents, and the documents as vocabulary numbers."""
-    words = cut(hashed(documents, id_col, text_col), "p10-words")
-    terms, n, df, by_subject = vocabulary(words, clean_labels(labels, label_id, label_col, subjects), len(subjects))
+    words = cut(hashed(documents, id_col, text_col, lang_col), "p10-words")
+    terms, n, by_subject, by_language = vocabulary(words, clean_labels(labels, label_id, label_col, subjects), len(subjects), languages(words))
     bag = cut(bags(words, terms), "p10-bags")
-    counts = seeds(n, df, by_subject)
-    for _ in range(PASSES):
+    start = subject_seeds(n, by_subject)
+    counts = np.concatenate([start, background_seeds(n, by_subject, by_language)])
+    for _ in range(PASSES if len(terms) else 0):
         counts = em_pass(bag, _beta(counts))
+        counts[: len(subjects)] += PRIOR * start
     return Model(terms, n, by_subject, counts, subjects), bag
 
 
