@@ -30,16 +30,11 @@ class Reader:
         self.repairer = mojibake.Repairer(np.zeros(2 * mojibake.BUCKETS, np.int32))
         self.seen = {cp for t in self.repairer.single.values() for cp in t}
 
-    def unscrambled(self, texts: pa.Array) -> pa.Array:
-        """Texts with misread sequences replaced."""
-        codes, offs = tb.codes_of(texts)
-        if not len(codes):
-            return texts
-        odd = np.flatnonzero(mojibake.row_sums(self.repairer.odd[np.minimum(codes, 0xFFFF)].astype(np.int64), offs))
-        if not len(odd):
-            return texts
+    def unscrambled(self, texts: pa.Array, codes: np.ndarray, offs: np.ndarray) -> pa.Array:
+        """Texts with misread sequences replaced; the same object if there are none."""
+        odd = self.repairer.odd[np.minimum(codes, 0xFFFF)]
         values = None
-        for i in odd.tolist():
+        for i in np.flatnonzero(mojibake.row_sums(odd.astype(np.int32), offs)).tolist():
             t = texts[i].as_py()
             if not self.repairer.has_sequence(t):
                 continue
@@ -58,8 +53,12 @@ class Reader:
 
     def languages(self, texts: pa.Array) -> dict[str, np.ndarray]:
         """Segments of the texts of one slice (row, lang, begin, words, confidence) and each text's main language."""
-        texts = self.unscrambled(texts)
-        codes, offs = tb.codes_of(tb.strip_tags(texts))
+        texts = tb.strip_tags(texts)
+        codes, offs = tb.codes_of(texts)
+        repaired = self.unscrambled(texts, codes, offs)
+        if repaired is not texts:
+            texts = repaired
+            codes, offs = tb.codes_of(texts)
         f, foffs = tb.fold(codes, offs)
         s, e, first = tb.words(f, foffs)
         ev = self.detector.evidence(f, s, e)
@@ -73,7 +72,7 @@ class Reader:
                 values = texts.to_pylist()
                 for i, t in replaced.items():
                     values[i] = t
-                codes, offs = tb.codes_of(tb.strip_tags(pa.array(values, pa.large_string())))
+                codes, offs = tb.codes_of(pa.array(values, pa.large_string()))
                 f, foffs = tb.fold(codes, offs)
                 s, e, first = tb.words(f, foffs)
                 ev = self.detector.evidence(f, s, e)
