@@ -4,7 +4,8 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from . import bpe, history, labels, langid, leakage, mojibake, overlap, sample, splits, topics
+from . import bpe, defects, history, labels, langid, leakage, mojibake, overlap, sample, splits, topics
+from ..storage import small_enough
 
 
 def table(spark: SparkSession, sf: str, name: str) -> DataFrame:
@@ -63,6 +64,16 @@ def p4_sample(spark: SparkSession, sf: str) -> DataFrame:
     return sample.poisson_sample(sample.running_weights(first.unionByName(reviewed)), P4_RATE).select(F.col("id").alias("sample_id"), "weight")
 
 
+def p5_found(spark: SparkSession, sf: str) -> DataFrame:
+    """Failed question-answer and translation pairs with their defect."""
+    kinds = table(spark, sf, "batches").select(F.col("id").alias("batch_id"), F.col("source_id").alias("of"))
+    kinds = kinds.join(table(spark, sf, "sources").select(F.col("id").alias("of"), (F.col("kind") == "instruction").alias("instruct")), "of").select("batch_id", "instruct")
+    rows = table(spark, sf, "corpus_rows")
+    marked = rows.join(F.broadcast(kinds) if small_enough(kinds, 100_000) else kinds, "batch_id", "left")
+    got = defects.judged(marked, "sample_id", "source_text", "target_text", "src_lang", "tgt_lang", "instruct", labels.fit(rows, "sample_id", _SIDES))
+    return got.withColumnRenamed("id", "sample_id")
+
+
 def p6_found(spark: SparkSession, sf: str) -> DataFrame:
     """Sides with text read in the wrong encoding."""
     return p6_restored(spark, sf).select("sample_id", "side")
@@ -130,7 +141,7 @@ def p7_found(spark: SparkSession, sf: str) -> DataFrame:
     return _ordered(history.against_history(table(spark, sf, "corpus_rows"), state, "sample_id", "source_text", "target_text"), "id_new", "id_old")
 
 
-QUERIES = {f.__name__: f for f in (p1_found, p1_segments, p2_found, p2_split, p3_found, p3_counts, p4_sample, p6_found, p6_restored, p7_found, p8_ids, p9_found, p10_found, p10_proportions)}
+QUERIES = {f.__name__: f for f in (p1_found, p1_segments, p2_found, p2_split, p3_found, p3_counts, p4_sample, p5_found, p6_found, p6_restored, p7_found, p8_ids, p9_found, p10_found, p10_proportions)}
 
 _DOC_KEY = "nullif(regexp_replace(regexp_replace(regexp_replace(lower(document_id), '^\\s+|\\s+$', '', 'g'), '(\\s+part\\s+[0-9]+|[:#/|]\\s*(chunk|part|p\\.|c)?\\s*[0-9]+)$', ''), '\\s+$', ''), '')"
 _DOCS = f"select distinct sample_id, source_id, {_DOC_KEY} as doc_key from corpus_rows"
