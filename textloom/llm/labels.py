@@ -62,8 +62,8 @@ class Reader:
         f, foffs = tb.fold(codes, offs)
         s, e, first = tb.words(f, foffs)
         ev = self.detector.evidence(f, s, e)
-        total = np.concatenate([np.zeros((1, ev.shape[1])), np.cumsum(ev, 0, np.float64)])
-        total = (total[first[1:]] - total[first[:-1]]).max(1, initial=0)
+        upto = self.detector.sums(ev)
+        total = (upto[first[1:]] - upto[first[:-1]]).max(1, initial=0)
         n = np.diff(first)
         weak = np.flatnonzero((n >= LEAST_WORDS) & (total < WEAK * n))
         if len(weak):
@@ -76,7 +76,8 @@ class Reader:
                 f, foffs = tb.fold(codes, offs)
                 s, e, first = tb.words(f, foffs)
                 ev = self.detector.evidence(f, s, e)
-        got = self.detector.segments_of(ev, first)
+                upto = self.detector.sums(ev)
+        got = self.detector.segments_of(ev, first, upto)
         enough = np.diff(first) >= LEAST_WORDS
         got["main"] = np.where(enough, got["main"], -1)
         keep = enough[got["row"]]

@@ -29,6 +29,7 @@ from pyspark.sql import Column, DataFrame, functions as F
 from . import textblock as tb
 from ..hashing import portable_hash
 from .pairs import row_sums
+from ..storage import cut
 
 LANGUAGES = ("en", "de", "fr", "es", "pt", "ru", "fa", "ar")
 #: Labelled texts of each language that the filter is fitted on at most.
@@ -110,7 +111,7 @@ def train(texts: DataFrame, languages: tuple[str, ...] = LANGUAGES) -> np.ndarra
                 pair, n = np.unique(np.stack([g.view(np.int64), of.astype(np.int64)], 1), axis=0, return_counts=True) if len(g) else (np.zeros((0, 2), np.int64), np.zeros(0, np.int64))
                 yield pa.RecordBatch.from_arrays([pa.array(pair[:, 0]), pa.array(pair[:, 1].astype(np.int32)), pa.array(n)], ["g", "lang", "n"])
 
-    counts = sample.mapInArrow(count, "g long, lang int, n long").groupBy("g", "lang").agg(F.sum("n").alias("n"))
+    counts = cut(sample.mapInArrow(count, "g long, lang int, n long").groupBy("g", "lang").agg(F.sum("n").alias("n")), "langid-counts")
     total = dict(counts.groupBy("lang").agg(F.sum("n")).collect())
     rate = F.create_map(*[F.lit(x) for kv in total.items() for x in kv]) if total else F.create_map(F.lit(0), F.lit(1))
     rows = counts.withColumn("r", F.col("n") / F.element_at(rate, F.col("lang")))
@@ -148,6 +149,8 @@ class Detector:
         a, b, c = slots_of(g)
         masks = self.table[a] & self.table[b] & self.table[c]
         per = np.zeros((len(s), len(self.languages)), np.float32)
+        told = np.flatnonzero(self.weight.any(1)[masks])  # n-grams of no language, or of too many, tell nothing
+        masks, word = masks[told], word[told]
         for i in range(len(self.languages)):
             per[:, i] = np.bincount(word, self.weight[masks, i], len(s))
         return per[back]
@@ -159,9 +162,16 @@ class Detector:
         s, e, first = tb.words(f, offs)
         return self.segments_of(self.evidence(f, s, e), first)
 
-    def segments_of(self, ev: np.ndarray, first: np.ndarray) -> dict[str, np.ndarray]:
-        n, k = len(first) - 1, len(self.languages)
-        upto = np.concatenate([np.zeros((1, k)), np.cumsum(ev, 0, np.float64)])
+    @staticmethod
+    def sums(ev: np.ndarray) -> np.ndarray:
+        """Evidence of all words before each."""
+        out = np.zeros((len(ev) + 1, ev.shape[1]))
+        np.cumsum(ev, 0, np.float64, out[1:])
+        return out
+
+    def segments_of(self, ev: np.ndarray, first: np.ndarray, upto: np.ndarray | None = None) -> dict[str, np.ndarray]:
+        n = len(first) - 1
+        upto = self.sums(ev) if upto is None else upto
         total = upto[first[1:]] - upto[first[:-1]]
         main = np.where(total.max(1, initial=0) > 0.5, total.argmax(1), -1) if n else np.zeros(0, np.int64)
         row = np.repeat(np.arange(n), np.diff(first))

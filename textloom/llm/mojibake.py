@@ -185,6 +185,11 @@ class Repairer:
         self.automaton = ahocorasick.Automaton()
         for bad, (good, strength) in self.many.items():
             self.automaton.add_word(bad, (len(bad), good, strength))
+        self.certain = ahocorasick.Automaton()
+        for bad, (_, strength) in self.many.items():
+            if strength > 1:
+                self.certain.add_word(bad, True)
+        self.certain.make_automaton()
         for table in self.single.values():
             for cp in table:
                 if not self.automaton.exists(chr(cp)):
@@ -203,7 +208,7 @@ class Repairer:
 
     def has_sequence(self, text: str) -> bool:
         """Whether the text holds a sequence that only wrong decoding makes."""
-        return any(strength > 1 for _, (_, _, strength) in self.automaton.iter(text))
+        return next(self.certain.iter(text), None) is not None
 
     def sequences(self, piece: str) -> tuple[str, int]:
         """The piece with its garbled sequences replaced, longest first from the left, and the strongest match."""
