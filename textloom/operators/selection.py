@@ -1,0 +1,348 @@
+"""Selecting evaluation rows: annotation, deduplication, quotas, documents, k-center, splits.
+
+Whatever grows with the corpus is an aggregate or a join; the driver sees counts
+per cell only, whose number is bounded by pairs x domains x buckets.
+"""
+
+from __future__ import annotations
+
+import math
+
+import numpy as np
+import pandas as pd
+from pyspark.sql import Column, DataFrame, Window, functions as F
+
+from .ranking import first_by_hash, keep_first
+from ..functions import language as L
+from ..hashing import portable_hash
+from ..storage import cut
+
+
+def target_size(rows: int, percent: float, most: int, exact: int | None = None) -> int:
+    """How many rows to reserve: a share rounded up, capped; or an exact count."""
+    return max(0, min(exact if exact is not None else min(math.ceil(rows * percent / 100), most), rows))
+
+
+def candidate_limit(total: int, target: int, limit: int = 50_000, multiple: int = 10) -> int:
+    """How many candidates to look at for a target."""
+    return min(total, max(target, min(limit, target * multiple)))
+
+
+# -- annotation ---------------------------------------------------------------
+
+
+def token_frequency(rows: DataFrame) -> DataFrame:
+    """(pair, token, df): rows of the language pair whose source holds the token."""
+    return rows.select("pair", F.explode(F.array_distinct(L.tokens(F.col("source_text")))).alias("token")).groupBy("pair", "token").agg(F.count("*").alias("df"))
+
+
+def rare_scores(rows: DataFrame, rare_df: int = 2) -> DataFrame:
+    """(sample_id, rare_term_score): share of a row's tokens in at most *rare_df* rows of its pair; 0 without tokens.
+
+    Frequent tokens are many rows of one join key; only the rare ones are joined,
+    each with at most *rare_df* rows, so no key is hot.
+    """
+    words = rows.select("sample_id", "pair", L.tokens(F.col("source_text")).alias("w"))
+    rare = token_frequency(rows).filter(F.col("df") <= rare_df).select("pair", "token")
+    hits = words.select("sample_id", "pair", F.explode("w").alias("token")).groupBy("sample_id", "pair", "token").agg(F.count("*").alias("c")).join(rare, ["pair", "token"]).groupBy("sample_id").agg(F.sum("c").alias("hits"))
+    return words.join(hits, "sample_id", "left").select("sample_id", "pair", F.when(F.size("w") > 0, F.coalesce("hits", F.lit(0)) / F.size("w")).otherwise(0.0).alias("rare_term_score"))
+
+
+def rare_thresholds(scores: DataFrame, q: float = 0.9) -> DataFrame:
+    """Per pair the exact order statistic sorted[min(n - 1, int(q n))], from counts of equal scores."""
+    equal = scores.groupBy("pair", "rare_term_score").agg(F.count("*").alias("c"))
+    w = Window.partitionBy("pair").orderBy("rare_term_score")  # distinct scores are few: fractions of small numbers
+    at = equal.withColumn("upto", F.sum("c").over(w)).withColumn("n", F.sum("c").over(Window.partitionBy("pair")))
+    return at.filter(F.col("upto") > F.least(F.col("n") - 1, F.floor(F.col("n") * q))).groupBy("pair").agg(F.min("rare_term_score").alias("threshold"))
+
+
+def features(rows: DataFrame) -> DataFrame:
+    """Content flags, bucket, document and keys of each row."""
+    src, tgt = L.language_tag(F.col("src_lang")), L.language_tag(F.col("tgt_lang"))
+    s, t = F.col("source_text"), F.col("target_text")
+    return rows.withColumns(
+        {
+            "pair": L.pair_key(F.col("src_lang"), F.col("tgt_lang")),
+            "length_bucket": L.length_bucket(F.length(s)),
+            "has_math": L.has_math(s) | L.has_math(t),
+            "has_numbers_units": L.has_numbers_units(s, src) | L.has_numbers_units(t, tgt),
+            "has_acronyms": L.has_acronyms(s, src) | L.has_acronyms(t, tgt),
+            "has_mixed_script": L.has_mixed_script(s, t, src, tgt),
+            "document": L.document_key(F.col("document_id"), F.col("sample_id"), F.col("source_id")),
+        }
+    )
+
+
+# -- deduplication ------------------------------------------------------------
+
+
+def dedup_exact(rows: DataFrame, key: Column | None = None) -> DataFrame:
+    """First row of each (pair, source key); rows with an empty key are dropped."""
+    keyed = rows.withColumn("_pair", L.pair_key(F.col("src_lang"), F.col("tgt_lang"))).withColumn("_key", L.text_key(F.col("source_text")) if key is None else key)
+    return keep_first(keyed.filter("_key <> ''"), ["_pair", "_key"], [], "sample_id").drop("_pair", "_key")
+
+
+def dedup_language_aware(rows: DataFrame, order: str = "sample_id") -> DataFrame:
+    """First row of each (source key, target key), keys by language; the pair is no part of the key."""
+    keyed = rows.withColumn("_s", L.language_key(F.col("source_text"), L.language_tag(F.col("src_lang")))).withColumn("_t", L.language_key(F.col("target_text"), L.language_tag(F.col("tgt_lang"))))
+    return keep_first(keyed, ["_s", "_t"], [order], "sample_id").drop("_s", "_t")
+
+
+def keep_unlinked(ids: DataFrame, links: DataFrame) -> DataFrame:
+    """Greedy keep-first over links (a < b): an id is dropped if it is linked to a *kept* smaller one.
+
+    Settled in rounds: an undecided id whose smaller neighbours are all dropped is
+    kept, its larger neighbours drop.  ids: (id); links: (a, b).
+    """
+    undecided = cut(links.select("a").union(links.select("b")).distinct().toDF("id"), "keep-undecided")
+    open_links = cut(links.select("a", "b").distinct(), "keep-links")
+    dropped = None
+    while True:
+        blocked = open_links.select(F.col("b").alias("id")).distinct()
+        kept = undecided.join(blocked, "id", "left_anti")
+        lost = cut(open_links.join(kept.withColumnRenamed("id", "a"), "a", "left_semi").select(F.col("b").alias("id")).distinct(), "keep-dropped")
+        if lost.isEmpty():
+            break
+        dropped = lost if dropped is None else dropped.unionByName(lost)
+        settled = kept.unionByName(lost)
+        undecided = cut(undecided.join(settled, "id", "left_anti"), "keep-undecided")
+        # A link from a dropped id blocks nobody any more.
+        open_links = cut(open_links.join(settled.withColumnRenamed("id", "a"), "a", "left_anti").join(lost.withColumnRenamed("id", "b"), "b", "left_anti"), "keep-links")
+    return ids if dropped is None else ids.join(dropped, "id", "left_anti")
+
+
+def minhash_links(rows: DataFrame, id_col: str, text: Column, group: Column, threshold: float = 0.85, n: int = 3, bands: int = 16, width: int = 5) -> DataFrame:
+    """(a, b, jaccard): pairs of one group that share a MinHash band and whose exact shingle overlap reaches the threshold.
+
+    Texts with equal shingle sets are one class, linked to their smallest id only,
+    so a text that occurs very often yields one link an occurrence.
+    """
+    words = rows.select(F.col(id_col).alias("id"), group.alias("g"), F.array_sort(F.transform(L.shingles(L.tokens(text), n), lambda x: F.xxhash64(x))).alias("s")).filter(F.size("s") > 0)
+    marked = cut(words.withColumn("c", F.xxhash64("g", "s")), "minhash-rows")
+    reps = cut(marked.groupBy("c").agg(F.min("id").alias("id")).join(marked, ["c", "id"]).select("c", "id", "g", "s").dropDuplicates(["c"]), "minhash-classes")
+    # One hash function a row of the signature: a bijection of the shingle hash, least value kept.
+    mins = [F.array_min(F.transform("s", lambda x, k=k: F.xxhash64(x, F.lit(k)))) for k in range(bands * width)]
+    keys = F.array(*[F.xxhash64(F.lit(b), "g", *mins[b * width : (b + 1) * width]) for b in range(bands)])
+    posted = reps.select("id", F.size("s").alias("n"), F.explode(keys).alias("k"))
+    found = posted.alias("x").join(posted.alias("y"), (F.col("x.k") == F.col("y.k")) & (F.col("x.id") < F.col("y.id")) & (F.least("x.n", "y.n") >= threshold * F.greatest("x.n", "y.n")))
+    pairs = cut(found.select(F.col("x.id").alias("a"), F.col("y.id").alias("b")).distinct(), "minhash-pairs")
+    left, right = reps.select(F.col("id").alias("a"), F.col("s").alias("sa")), reps.select(F.col("id").alias("b"), F.col("s").alias("sb"))
+    i = F.size(F.array_intersect("sa", "sb"))
+    near = pairs.join(left, "a").join(right, "b").withColumn("jaccard", i / (F.size("sa") + F.size("sb") - i)).filter(F.col("jaccard") >= threshold).select("a", "b", "jaccard")
+    same = marked.select("c", F.col("id").alias("b")).join(reps.select("c", F.col("id").alias("a")), "c").filter("a <> b").select("a", "b", F.lit(1.0).alias("jaccard"))
+    return near.unionByName(same.distinct())
+
+
+def embedding_links(vectors: DataFrame, id_col: str, vector_col: str, threshold: float, group: Column | None = None, tables: int = 24, bits: int = 8, seed: int = 5) -> DataFrame:
+    """(a, b, cosine): vectors of one group that share a random-hyperplane code in some table, by exact cosine.
+
+    Codes are computed in blocks; pairs of equal codes meet in a join.
+    """
+    dim = vectors.select(F.size(vector_col)).first()
+    planes = np.random.default_rng(seed).standard_normal((tables * bits, dim[0] if dim else 1))
+
+    def codes(batches):
+        for pdf in batches:
+            m = np.stack(pdf["v"].to_numpy()) if len(pdf) else np.zeros((0, planes.shape[1]))
+            sign = (m @ planes.T > 0).reshape(len(pdf), tables, bits)
+            code = (sign * (1 << np.arange(bits))).sum(2) + (np.arange(tables) << bits)
+            yield pd.DataFrame({"id": pdf["id"], "g": pdf["g"], "v": pdf["v"], "codes": list(code.astype(np.int64))})
+
+    rows = vectors.select(F.col(id_col).cast("long").alias("id"), (F.lit("") if group is None else group).cast("string").alias("g"), F.col(vector_col).cast("array<double>").alias("v")).filter("v is not null")
+    coded = cut(rows.mapInPandas(codes, "id long, g string, v array<double>, codes array<long>"), "embedding-codes")
+    posted = coded.select("id", "g", F.explode("codes").alias("k"))
+    pairs = posted.alias("x").join(posted.alias("y"), (F.col("x.k") == F.col("y.k")) & F.col("x.g").eqNullSafe(F.col("y.g")) & (F.col("x.id") < F.col("y.id"))).select(F.col("x.id").alias("a"), F.col("y.id").alias("b")).distinct()
+    left, right = coded.select(F.col("id").alias("a"), F.col("v").alias("va")), coded.select(F.col("id").alias("b"), F.col("v").alias("vb"))
+    return pairs.join(left, "a").join(right, "b").withColumn("cosine", cosine(F.col("va"), F.col("vb"))).filter(F.col("cosine") >= threshold).select("a", "b", "cosine")
+
+
+def dot(a: Column, b: Column) -> Column:
+    return F.aggregate(F.zip_with(a, b, lambda x, y: x * y), F.lit(0.0), lambda s, x: s + x)
+
+
+def cosine(a: Column, b: Column) -> Column:
+    """Cosine; a zero vector counts as of length 1."""
+    def norm(v: Column) -> Column:
+        n = F.sqrt(dot(v, v))
+        return F.when(n == 0, 1.0).otherwise(n)
+
+    return dot(a, b) / (norm(a) * norm(b))
+
+
+# -- selectors ----------------------------------------------------------------
+
+
+def jitter(sample_id: Column, seed: int = 42) -> Column:
+    return (portable_hash(sample_id, str(seed)) % 1_000_000) / F.lit(1e9)
+
+
+def _clip(c: Column) -> Column:
+    return F.greatest(F.lit(0.0), F.least(F.lit(1.0), c))
+
+
+def heuristic_score(seed: int = 42) -> Column:
+    """Weighted fit of length, words, ratio, letters, richness, ending and quality; 0 but for the jitter on markup or links."""
+    s, t = F.col("source_text"), F.col("target_text")
+    words = F.split(s, " ")
+    n_words = F.size(words)
+    length = _clip(1 - F.abs(F.length(s) - 90) / 200)
+    word = F.when((n_words >= 4) & (n_words <= 60), 1.0).otherwise(0.0)
+    ratio = F.when((F.length(s) > 0) & (F.length(t) > 0), _clip(1 - F.abs(F.log2(F.length(t) / F.length(s))))).otherwise(0.0)
+    alpha = F.when(F.length(s) > 0, F.regexp_count(s, F.lit(r"\p{L}")) / F.length(s)).otherwise(0.0)
+    rich = F.size(F.array_distinct(F.split(F.lower(s), " "))) / n_words
+    ended = F.when(s.rlike(r"[.!?؟。…]$"), 1.0).otherwise(0.0)
+    quality = _clip(F.coalesce("quality", F.lit(0.5)))
+    clean = F.when(s.rlike(r"(?i)https?://|www\.|[<>{}|\\]") | t.rlike(r"(?i)https?://|www\.|[<>{}|\\]"), 0.0).otherwise(1.0)
+    return (0.22 * length + 0.14 * word + 0.20 * ratio + 0.14 * alpha + 0.10 * rich + 0.08 * ended + 0.12 * quality) * clean + jitter(F.col("sample_id"), seed)
+
+
+def heuristic_select(rows: DataFrame, n: int, seed: int = 42) -> DataFrame:
+    """The best row of each source text, then a stratified top n by (src, tgt, domain).
+
+    A stratum gives at most max(1, ceil(size / total x n)) rows, best first; of all these the n with the lowest
+    rank and the highest score.  Scores become integers in hash order, so no stratum is sorted whole.
+    """
+    scored = rows.withColumn("_score", F.round(heuristic_score(seed) * 1e9).cast("long")).withColumn("_order", F.lit(2_000_000_000) - F.col("_score"))
+    best = keep_first(scored.withColumn("_text", F.md5(F.lower(L.strip(F.col("source_text"))).cast("binary"))), ["_text"], ["_order"], "sample_id").drop("_text")
+    kept = cut(best.select("sample_id", "src_lang", "tgt_lang", "domain", "_order"), "heuristic-scores")
+    total = kept.count()
+    quota = F.greatest(F.lit(1), F.ceil(F.col("n") / F.lit(max(total, 1)) * n)).cast("long")
+    few = first_by_hash(kept, ["src_lang", "tgt_lang", "domain"], "_order", ["sample_id"], quota)
+    strata = Window.partitionBy("src_lang", "tgt_lang", "domain").orderBy("_order", "sample_id")  # at most quota rows each
+    chosen = few.withColumn("_rank", F.row_number().over(strata)).orderBy("_rank", "_order", "sample_id").limit(n)
+    return chosen.select("sample_id", "_rank").withColumnRenamed("_rank", "rank")
+
+
+def random_select(rows: DataFrame, n: int, seed: int = 42) -> DataFrame:
+    """n rows in the order of their hash: the top-k operator, no sort."""
+    return rows.withColumn("_h", portable_hash(F.col("sample_id"), str(seed))).orderBy("_h", "sample_id").limit(n).drop("_h")
+
+
+SELECTORS = {"heuristic": heuristic_select, "random": random_select}
+
+
+# -- quotas on the driver (over counts of cells) ---------------------------------
+
+
+def proportional(counts: dict[str, int], total: int) -> dict[str, int]:
+    """Targets in proportion to counts, capped by them; the remainder goes by (count descending, name)."""
+    have = sum(counts.values())
+    total = min(total, have)
+    out = {k: min(v, total * v // have) if have else 0 for k, v in counts.items()}
+    rest = total - sum(out.values())
+    order = sorted(counts, key=lambda k: (-counts[k], k))
+    while rest > 0:
+        for k in order:
+            if rest and out[k] < counts[k]:
+                out[k] += 1
+                rest -= 1
+    return out
+
+
+def flattened(counts: dict[str, int], total: int, alpha: float = 0.5, floor: int = 50) -> dict[str, int]:
+    """Targets in proportion to counts ** alpha with a floor for each, capped by what there is."""
+    if not counts:
+        return {}
+    total = min(total, sum(counts.values()))
+    low = min(floor, total // len(counts))
+    out = {k: min(v, low) for k, v in counts.items()}
+    weight = {k: v**alpha for k, v in counts.items()}
+    while (rest := total - sum(out.values())) > 0:
+        open_ = [k for k in sorted(counts, key=lambda k: (-counts[k], k)) if out[k] < counts[k]]
+        scale = sum(weight[k] for k in open_)
+        before = sum(out.values())
+        for k in open_:
+            out[k] += min(counts[k] - out[k], int(rest * weight[k] / scale))
+        if sum(out.values()) == before:
+            for k in open_[:rest]:
+                out[k] += 1
+    return out
+
+
+def cell_quotas(cells: dict[tuple[str, str, str], int], total: int) -> dict[tuple[str, str, str], int]:
+    """Quota of each (pair, domain, bucket): by pair in proportion, by domain flattened, by bucket in proportion."""
+    out: dict[tuple[str, str, str], int] = {}
+    pairs: dict[str, dict[str, dict[str, int]]] = {}
+    for (p, d, b), n in cells.items():
+        pairs.setdefault(p, {}).setdefault(d, {})[b] = n
+    for p, t in proportional({p: sum(sum(b.values()) for b in d.values()) for p, d in pairs.items()}, total).items():
+        for d, t2 in flattened({d: sum(b.values()) for d, b in pairs[p].items()}, t).items():
+            for b, t3 in proportional(pairs[p][d], t2).items():
+                out[p, d, b] = t3
+    return out
+
+
+def holdout_budget(corpus_rows: int | None, share: float | None, absolute: int | None) -> int | None:
+    """Most rows that held-out documents may cost; None is unbounded."""
+    bounds = [absolute] if absolute is not None else []
+    if share is not None and corpus_rows is not None:
+        bounds.append(int(corpus_rows * share))
+    return min(bounds) if bounds else None
+
+
+def choose_documents(docs: list[tuple[str, str, float]], sizes: dict[str, int], budget: int | None, most: int | None = None) -> tuple[list[str], int]:
+    """Documents (key, domain, value) by value per row they cost, round-robin over domains, skipping what does not fit.
+
+    A document that the corpus does not know costs one row.  The cap on their number is left aside
+    where every document is a single row of its own.
+    """
+    if most is not None and all(k.startswith("sample:") for k, _, _ in docs):
+        most = None
+    queues: dict[str, list[tuple[float, str]]] = {}
+    for key, domain, value in docs:
+        queues.setdefault(domain, []).append((-value / max(sizes.get(key, 1), 1), key))
+    for q in queues.values():
+        q.sort(reverse=True)
+    chosen, cost = [], 0
+    while any(queues.values()):
+        for domain in sorted(queues):
+            while queues[domain]:
+                _, key = queues[domain].pop()
+                c = sizes.get(key, 1)
+                if (budget is None or cost + c <= budget) and (most is None or len(chosen) < most):
+                    chosen.append(key)
+                    cost += c
+                    break
+    return chosen, cost
+
+
+def cells_of(rows: DataFrame) -> DataFrame:
+    return rows.groupBy("pair", F.coalesce(F.nullif("domain", F.lit("")), F.lit("unknown")).alias("domain"), "length_bucket").agg(F.count("*").alias("n"))
+
+
+# -- diversity and splits -----------------------------------------------------------
+
+
+def k_center(vectors: DataFrame, id_col: str, vector_col: str, cell_col: str, k: int, seed: int = 42) -> DataFrame:
+    """(cell, id, step): k farthest-first vectors of each cell, started by hash.
+
+    k rounds over the table: in each every row keeps its distance to the chosen
+    ones and each cell's farthest row is picked by an aggregate (ties by id), so
+    a cell of any size stays distributed.  k is small, the quota of a cell.
+    """
+    rows = vectors.select(F.col(cell_col).alias("cell"), F.col(id_col).alias("id"), F.col(vector_col).cast("array<double>").alias("v"))
+    state = rows.withColumn("d", F.lit(2.0) + portable_hash(F.col("id"), str(seed)) / F.lit(2.0**32))
+    chosen = None
+    for step in range(k):
+        far = state.filter("d >= 0").groupBy("cell").agg(F.max_by(F.struct("id", "v"), F.struct("d", -F.col("id"))).alias("b")).select("cell", F.col("b.id").alias("c_id"), F.col("b.v").alias("c_v"))
+        far = cut(far, "kcenter-pick")
+        pick = far.select("cell", F.col("c_id").alias("id"), F.lit(step).alias("step"))
+        chosen = pick if chosen is None else chosen.unionByName(pick)
+        if step + 1 < k:
+            near = 1 - cosine(F.col("v"), F.col("c_v"))
+            state = cut(state.join(F.broadcast(far), "cell").select("cell", "id", "v", F.when(F.col("id") == F.col("c_id"), -1.0).when(F.col("d") < 0, F.col("d")).otherwise(F.least("d", near)).alias("d")), "kcenter-state")
+    return chosen
+
+
+def dev_test(rows: DataFrame, cells: list[str], share: float = 0.5, seed: int = 42) -> DataFrame:
+    """sample_id, evaluation_split: of each cell the first round-half-even(share x n) rows by hash are dev."""
+    hashed = rows.select("sample_id", *cells).withColumn("_h", portable_hash(F.col("sample_id"), str(seed), "split"))
+    dev = first_by_hash(hashed, cells, "_h", ["sample_id"], F.bround(F.col("n") * share).cast("long")).select("sample_id").withColumn("_dev", F.lit(True))
+    return hashed.join(dev, "sample_id", "left").select("sample_id", F.when(F.col("_dev"), "dev").otherwise("test").alias("evaluation_split"))
+
+
+def gold(rows: DataFrame, cells: list[str], size: int = 120, seed: int = 42) -> DataFrame:
+    """sample_id of the rows for human review: *size* spread over the cells, at least one of each, cut to size."""
+    n_cells = max(rows.select(*cells).distinct().count(), 1)
+    hashed = rows.select("sample_id", *cells).withColumn("_h", portable_hash(F.col("sample_id"), str(seed), "gold"))
+    return first_by_hash(hashed, cells, "_h", ["sample_id"], F.lit(max(1, size // n_cells))).orderBy("_h", "sample_id").limit(size).select("sample_id")
