@@ -9,7 +9,7 @@ from __future__ import annotations
 import unicodedata
 
 import pandas as pd
-from pyspark.sql import Column, functions as F
+from pyspark.sql import Column, functions as F, types as T
 from pyspark.sql.functions import pandas_udf
 
 TOKEN = r"[\p{L}\p{N}_]+"
@@ -45,7 +45,7 @@ def pair_key(src: Column, tgt: Column) -> Column:
     return F.concat_ws("-", language_tag(src), language_tag(tgt))
 
 
-@pandas_udf("string")
+@pandas_udf(T.StringType())
 def nfkc(s: pd.Series) -> pd.Series:
     """Unicode compatibility normalisation."""
     return s.map(lambda x: x if x is None or x.isascii() else unicodedata.normalize("NFKC", x))

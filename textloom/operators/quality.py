@@ -16,7 +16,7 @@ LOOP_WORDS, LOOP_TIMES = 6, 3
 def length_ratio_over(source: Column, target: Column, limit: float) -> Column:
     """Texts of very different length; sources under 20 characters and empty targets are not judged."""
     a, b = F.length(source), F.length(target)
-    return F.coalesce((a >= 20) & (b > 0) & (F.greatest(a / b, b / a) > limit), F.lit(False))
+    return F.coalesce((a >= 20) & (b > 0) & (F.greatest(F.try_divide(a, b), F.try_divide(b, a)) > limit), F.lit(False))
 
 
 def copy_of_source(source: Column, target: Column, normalised: bool = True) -> Column:

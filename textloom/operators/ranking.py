@@ -42,5 +42,5 @@ def first_by_hash(df: DataFrame, group: list[str], hash_col: str, ties: list[str
 
 def keep_first(df: DataFrame, keys: list[str], order: list[str], id_col: str) -> DataFrame:
     """One row for each key, the least by *order* then id: an aggregate picks ids, no group is collected."""
-    best = df.groupBy(*keys).agg(F.min(F.struct(*order, id_col)).alias("_b")).select(F.col(f"_b.{id_col}").alias(id_col))
+    best = df.groupBy(*keys).agg(F.min(F.struct(*[c for c in order if c != id_col], id_col)).alias("_b")).select(F.col(f"_b.{id_col}").alias(id_col))
     return df.join(best, id_col, "left_semi")

@@ -45,7 +45,7 @@ def rare_scores(rows: DataFrame, rare_df: int = 2) -> DataFrame:
     words = rows.select("sample_id", "pair", L.tokens(F.col("source_text")).alias("w"))
     rare = token_frequency(rows).filter(F.col("df") <= rare_df).select("pair", "token")
     hits = words.select("sample_id", "pair", F.explode("w").alias("token")).groupBy("sample_id", "pair", "token").agg(F.count("*").alias("c")).join(rare, ["pair", "token"]).groupBy("sample_id").agg(F.sum("c").alias("hits"))
-    return words.join(hits, "sample_id", "left").select("sample_id", "pair", F.when(F.size("w") > 0, F.coalesce("hits", F.lit(0)) / F.size("w")).otherwise(0.0).alias("rare_term_score"))
+    return words.join(hits, "sample_id", "left").select("sample_id", "pair", F.when(F.size("w") > 0, F.try_divide(F.coalesce("hits", F.lit(0)), F.size("w"))).otherwise(0.0).alias("rare_term_score"))
 
 
 def rare_thresholds(scores: DataFrame, q: float = 0.9) -> DataFrame:
@@ -187,9 +187,9 @@ def heuristic_score(seed: int = 42) -> Column:
     n_words = F.size(words)
     length = _clip(1 - F.abs(F.length(s) - 90) / 200)
     word = F.when((n_words >= 4) & (n_words <= 60), 1.0).otherwise(0.0)
-    ratio = F.when((F.length(s) > 0) & (F.length(t) > 0), _clip(1 - F.abs(F.log2(F.length(t) / F.length(s))))).otherwise(0.0)
-    alpha = F.when(F.length(s) > 0, F.regexp_count(s, F.lit(r"\p{L}")) / F.length(s)).otherwise(0.0)
-    rich = F.size(F.array_distinct(F.split(F.lower(s), " "))) / n_words
+    ratio = F.when((F.length(s) > 0) & (F.length(t) > 0), _clip(1 - F.abs(F.log2(F.try_divide(F.length(t), F.length(s)))))).otherwise(0.0)
+    alpha = F.when(F.length(s) > 0, F.try_divide(F.regexp_count(s, F.lit(r"\p{L}")), F.length(s))).otherwise(0.0)
+    rich = F.try_divide(F.size(F.array_distinct(F.split(F.lower(s), " "))), n_words)
     ended = F.when(s.rlike(r"[.!?؟。…]$"), 1.0).otherwise(0.0)
     quality = _clip(F.coalesce("quality", F.lit(0.5)))
     clean = F.when(s.rlike(r"(?i)https?://|www\.|[<>{}|\\]") | t.rlike(r"(?i)https?://|www\.|[<>{}|\\]"), 0.0).otherwise(1.0)

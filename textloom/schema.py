@@ -9,10 +9,17 @@ ALLOCATIONS = (TRAINABLE, RESERVED, QUARANTINED, IGNORED)
 #: Label of rows whose sample is not registered.
 MISSING = "MISSING"
 
-BASE = T._parse_datatype_string(
+_TYPES = {"long": T.LongType(), "int": T.IntegerType(), "double": T.DoubleType(), "string": T.StringType(), "boolean": T.BooleanType()}
+
+
+def _struct(text: str) -> T.StructType:
+    return T.StructType([T.StructField(name, _TYPES[kind]) for name, kind in (f.split() for f in text.split(","))])
+
+
+BASE = _struct(
     "sample_id long, batch_id int, source_id int, src_lang string, tgt_lang string, domain string, quality double, document_id string, source_text string, target_text string, meta string"
 )
-FEATURES = T._parse_datatype_string(
+FEATURES = _struct(
     "n_tokens int, length_bucket string, has_math boolean, has_numbers_units boolean, has_acronyms boolean, has_mixed_script boolean, is_rare_term boolean, "
     "rare_term_score double, evaluation_split string, human_verify boolean, allocation string"
 )
