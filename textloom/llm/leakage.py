@@ -203,7 +203,8 @@ class Matcher:
         self.least = int((2 * whole - np.minimum(WINDOW, n) - 1)[n > 0].min(initial=WINDOW))
         self.pairs = np.zeros(PAIR_PLACES, bool)
         inner = np.ones(max(len(items.words) - 1, 0), bool)
-        inner[items.first[1:-1] - 1] = False
+        border = items.first[1:-1] - 1
+        inner[border[(border >= 0) & (border < len(inner))]] = False
         self.pairs[_pair_places(items.words[:-1], items.words[1:])[inner]] = True
         self.has = np.zeros((len(items.begin), len(items.vocabulary)), bool)
         row, k = _per_row(items.end - items.begin)

@@ -40,7 +40,8 @@ PRIOR = 0.5
 #: A term speaks for a subject with this many labelled documents, most of them of the subject.
 SUPPORT = 4
 ALPHA, ETA = 0.1, 0.01
-TOP_TERMS = 25
+#: Terms by which a topic is judged, and how many of them must speak for some subject.
+TOP_TERMS, LEAST_TERMS = 25, 4
 SHARE, LEAST_MENTIONS = 0.2, 2
 #: Least probability of a subject for a word to be a mention of it.
 SURE = 0.5
@@ -211,11 +212,10 @@ def topic_subjects(beta: np.ndarray, n: np.ndarray, by_subject: np.ndarray) -> t
     says, clear = by_subject.argmax(0), clear_terms(by_subject)
     out = np.full(len(beta), -1)
     for k in range(len(beta)):
-        votes = says[top[k]][clear[top[k]]]
-        if len(votes) >= TOP_TERMS // 3:
-            best = np.bincount(votes, minlength=len(by_subject))
-            if best.max() > 0.5 * len(votes):
-                out[k] = best.argmax()
+        own = top[k][clear[top[k]]]
+        weight = np.bincount(says[own], np.maximum(score[k, own], 0), len(by_subject)) if len(own) >= LEAST_TERMS else np.zeros(1)
+        if weight.max() > 0.5 * weight.sum() and weight.max() > 0.3 * np.maximum(score[k, top[k]], 0).sum():
+            out[k] = weight.argmax()
     return out, top
 
 
