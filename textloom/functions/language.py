@@ -72,11 +72,23 @@ def language_key(c: Column, lang: Column) -> Column:
     return text_key(folded(nfkc(c), lang))
 
 
+def let(value: Column, body) -> Column:
+    """body(value) with *value* computed once: inside lambdas an expression would be computed again for every element."""
+    return F.element_at(F.transform(F.array(value), body), 1)
+
+
+def grams(words: Column, n: int) -> Column:
+    """Word n-grams in order; *words* must be a column or a lambda variable."""
+    return F.when(F.size(words) >= n, F.transform(F.sequence(F.lit(1), F.greatest(F.size(words) - (n - 1), F.lit(1))), lambda i: F.array_join(F.slice(words, i, n), " ")))
+
+
 def shingles(words: Column, n: int = 3) -> Column:
     """Distinct word n-grams; a shorter text is one shingle of all its words, none of none."""
-    starts = F.sequence(F.lit(1), F.size(words) - (n - 1))
-    grams = F.transform(starts, lambda i: F.array_join(F.slice(words, i, n), " "))
-    return F.when(F.size(words) >= n, F.array_distinct(grams)).when(F.size(words) > 0, F.array(F.array_join(words, " "))).otherwise(F.array().cast("array<string>"))
+    def body(w: Column) -> Column:
+        short = F.when(F.size(w) > 0, F.array(F.array_join(w, " "))).otherwise(F.array().cast("array<string>"))
+        return F.coalesce(F.array_distinct(grams(w, n)), short)
+
+    return let(words, body)
 
 
 def length_bucket(n: Column, edges: tuple[int, ...] = (0, 50, 120, 300, 1000)) -> Column:

@@ -38,11 +38,11 @@ def same_row_gate(rows: DataFrame, row_id: str, text: Column, reference: DataFra
     return hits.groupBy(row_id).agg(F.max("shared").alias("best")).filter(F.col("best") >= least)
 
 
-def scan(rows: DataFrame, reserved: DataFrame, scope: str = "pair", least: int = 2, key=L.text_key) -> DataFrame:
+def scan(rows: DataFrame, reserved: DataFrame, scope: str = "pair", least: int | None = 2, key=L.text_key) -> DataFrame:
     """(sample_id, reason) of the rows to quarantine for *reserved*, the first reason that holds:
 
     exact target (any group), exact source or held document (in the row's group), shingles of the source, else of
-    the target, with one reserved row of the group.  Selected rows are skipped.
+    the target, with one reserved row of the group (not at all if *least* is None).  Selected rows are skipped.
     """
     keyed = rows.join(_side(reserved.select("sample_id").distinct()), "sample_id", "left_anti").withColumn("_g", L.comparison_group(scope, F.col("src_lang"), F.col("tgt_lang")))
     keyed = keyed.withColumn("_doc", L.document_key(F.col("document_id"), F.col("sample_id"), F.col("source_id")))
@@ -56,7 +56,7 @@ def scan(rows: DataFrame, reserved: DataFrame, scope: str = "pair", least: int =
     found = semi("exact_target", {"t": k("target_text")}, {"t": k("target_text")}, 1)
     found = found.unionByName(semi("exact_source", {"g": F.col("_g"), "s": k("source_text")}, {"g": F.col("_g"), "s": k("source_text")}, 2))
     found = found.unionByName(semi("held_document", {"g": F.col("_g"), "d": F.col("_doc")}, {"g": F.col("_g"), "d": F.col("_doc")}, 3))
-    for rank, side in ((4, "source"), (5, "target")):
+    for rank, side in ((4, "source"), (5, "target")) if least is not None else ():
         c = f"{side}_text"
         posted = keyed.select("sample_id", "_g", F.explode(L.shingles(L.tokens(F.col(c)))).alias("s")).select("sample_id", F.xxhash64("_g", "s").alias("s"))
         refs = ref.select(F.col("sample_id").alias("ref"), "_g", F.explode(L.shingles(L.tokens(F.col(c)))).alias("s")).select("ref", F.xxhash64("_g", "s").alias("s")).distinct()

@@ -49,20 +49,22 @@ def loops(rows: DataFrame, id_col: str, text: Column) -> DataFrame:
 
     Counting is within the row (arrays), so nothing is shuffled.
     """
-    words = L.tokens(text)
-    grams = rows.select(id_col, words.alias("w")).filter(may_loop(F.col("w"))).select(
-        id_col, F.array_sort(F.transform(F.sequence(F.lit(1), F.size("w") - (LOOP_WORDS - 1)), lambda i: F.array_join(F.slice("w", i, LOOP_WORDS), " "))).alias("g")
-    )
-    # In the sorted phrases a run of equal ones is a phrase's count: its length is position minus first position.
-    firsts = F.filter(F.sequence(F.lit(1), F.size("g")), lambda i: (i == 1) | (F.element_at("g", i) != F.element_at("g", F.greatest(i - 1, F.lit(1)))))
-    with_runs = grams.select(id_col, "g", firsts.alias("s"))
-    counts = F.transform(
-        F.sequence(F.lit(1), F.size("s")),
-        lambda k: F.struct((F.when(k < F.size("s"), F.element_at("s", F.least(k + 1, F.size("s")))).otherwise(F.size("g") + 1) - F.element_at("s", k)).alias("times"), F.element_at("g", F.element_at("s", k)).alias("phrase")),
-    )
-    many = F.filter(counts, lambda x: x["times"] >= LOOP_TIMES)
-    best = F.element_at(F.array_sort(many, lambda a, b: F.when(a["times"] != b["times"], b["times"] - a["times"]).when(a["phrase"] < b["phrase"], -1).when(a["phrase"] > b["phrase"], 1).otherwise(0)), 1)
-    return with_runs.select(id_col, F.when(F.size(many) > 0, best).alias("b")).filter("b is not null").select(id_col, "b.times", "b.phrase")
+    def order(a: Column, b: Column) -> Column:
+        return F.when(a["times"] != b["times"], b["times"] - a["times"]).when(a["phrase"] < b["phrase"], -1).when(a["phrase"] > b["phrase"], 1).otherwise(0)
+
+    def most(g: Column) -> Column:
+        # In the sorted phrases a run of equal ones is a phrase's count: the distance between two first places.
+        firsts = F.filter(F.sequence(F.lit(1), F.size(g)), lambda i: (i == 1) | (F.element_at(g, i) != F.element_at(g, F.greatest(i - 1, F.lit(1)))))
+
+        def counts(s: Column) -> Column:
+            end = lambda k: F.when(k < F.size(s), F.element_at(s, F.least(k + 1, F.size(s)))).otherwise(F.size(g) + 1)
+            runs = F.transform(F.sequence(F.lit(1), F.size(s)), lambda k: F.struct((end(k) - F.element_at(s, k)).alias("times"), F.element_at(g, F.element_at(s, k)).alias("phrase")))
+            return F.array_sort(F.filter(runs, lambda x: x["times"] >= LOOP_TIMES), order)
+
+        return L.let(firsts, counts)
+
+    looped = L.let(L.tokens(text), lambda w: F.when(may_loop(w), L.let(F.array_sort(L.grams(w, LOOP_WORDS)), most)))
+    return rows.select(id_col, F.get(looped, F.lit(0)).alias("b")).filter("b is not null").select(id_col, "b.times", "b.phrase")
 
 
 def rule_counts(rows: DataFrame, group: list[str]) -> DataFrame:

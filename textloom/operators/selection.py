@@ -121,7 +121,10 @@ def minhash_links(rows: DataFrame, id_col: str, text: Column, group: Column, thr
     marked = cut(words.withColumn("c", F.xxhash64("g", "s")), "minhash-rows")
     reps = cut(marked.groupBy("c").agg(F.min("id").alias("id")).join(marked, ["c", "id"]).select("c", "id", "g", "s").dropDuplicates(["c"]), "minhash-classes")
     # One hash function a row of the signature: a bijection of the shingle hash, least value kept.
-    mins = [F.array_min(F.transform("s", lambda x, k=k: F.xxhash64(x, F.lit(k)))) for k in range(bands * width)]
+    def least(k: int) -> Column:
+        return F.array_min(F.transform("s", lambda x: F.xxhash64(x, F.lit(k))))
+
+    mins = [least(k) for k in range(bands * width)]
     keys = F.array(*[F.xxhash64(F.lit(b), "g", *mins[b * width : (b + 1) * width]) for b in range(bands)])
     posted = reps.select("id", F.size("s").alias("n"), F.explode(keys).alias("k"))
     found = posted.alias("x").join(posted.alias("y"), (F.col("x.k") == F.col("y.k")) & (F.col("x.id") < F.col("y.id")) & (F.least("x.n", "y.n") >= threshold * F.greatest("x.n", "y.n")))

@@ -344,11 +344,11 @@ _KEY = "array_to_string(" + _TOKENS + ", ' ')"
 def exact_and_document_hits(spark, sf):
     """The exact part of the scan."""
     rows = corpus(spark, sf)
-    return C.scan(rows, D.allocated(rows, registry(spark, sf), RESERVED), "pair", 1_000_000)
+    return C.scan(rows, D.allocated(rows, registry(spark, sf), RESERVED), "pair", None)
 
 
-@query("""select a.vec_id as id, max(list_dot_product(a.embedding::DOUBLE[], b.embedding::DOUBLE[]))::DOUBLE as c from embeddings a join embeddings b on b.vec_id % 50 = 0 and a.vec_id <> b.vec_id
-  group by 1 having max(list_dot_product(a.embedding::DOUBLE[], b.embedding::DOUBLE[])) >= 0.3""".replace("as c from", "as c_ from").replace("select a.vec_id as id, max(list_dot_product(a.embedding::DOUBLE[], b.embedding::DOUBLE[]))::DOUBLE as c_", "select a.vec_id as id, round(max(list_dot_product(a.embedding::DOUBLE[], b.embedding::DOUBLE[])), 4) as cosine"))
+@query("""select a.vec_id as id, round(max(list_dot_product(a.embedding::DOUBLE[], b.embedding::DOUBLE[])), 4) as cosine from embeddings a join embeddings b on b.vec_id % 50 = 0 and a.vec_id <> b.vec_id
+  group by 1 having max(list_dot_product(a.embedding::DOUBLE[], b.embedding::DOUBLE[])) >= 0.3""")
 def embedding_nearest(spark, sf):
     """Every vector with its nearest one of the stated query set (every id divisible by 50)."""
     e = table(spark, sf, "embeddings")
