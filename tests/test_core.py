@@ -10,7 +10,7 @@ from conftest import DATA
 from textloom import policy
 from textloom.functions import language as L
 from textloom.hashing import portable_hash
-from textloom.operators import allocation as A, contamination as C, dataset as D, ingest as I, quality as Q, ranking as R, selection as S
+from textloom.operators import allocation as A, contamination as C, dataset as D, ingest as I, pipeline as PL, quality as Q, ranking as R, selection as S
 from textloom.schema import CANONICAL, backfilled, empty
 from textloom.sources import readers, writers
 
@@ -153,6 +153,23 @@ def test_ingest(spark):
         I.normalize(raw, I.Mapping(source_text="nope"), 1, 1, "en", "de")
 
 
+def test_reservation(spark):
+    rows = [(i, i % 3, "en", "de", "law" if i % 2 else None, f"d{i % 20}:c{i}", f"text number {i} about {'x^2' if i % 25 == 0 else 'things'} and {i * 7} more words here", f"Text {i} mit {i * 7} Worten") for i in range(200)]
+    rows += [(200, 0, "en", "de", None, None, rows[5][6], rows[5][7]), (201, 9, "en", "de", None, "", "something else", rows[7][7].upper()), (202, 9, "en", "de", None, "", None, None)]
+    df = spark.createDataFrame(rows, "sample_id long, source_id int, src_lang string, tgt_lang string, domain string, document_id string, source_text string, target_text string")
+    run = PL.reserve(df, df.filter("sample_id < 200"), {"selection": {"share_percent": 10.0, "gold_size": 6}}, flag_targets={"has_math": 3})
+    members = {r.sample_id: r for r in run.members.collect()}
+    assert len(members) == run.report["selected"] == 20 and set(run.report["splits"]) == {"dev", "test"} and run.report["features"]["has_math"] >= 3
+    reasons = {r.sample_id: r.reason for r in run.quarantined.collect()}
+    assert not set(reasons) & set(members)
+    held = {(i % 3, i % 20) for i in members}
+    assert all(i in reasons for i in range(200) if i not in members and (i % 3, i % 20) in held)
+    registry = df.select("sample_id", F.when(F.col("sample_id") == min(members), "IGNORED").otherwise("TRAINABLE").alias("allocation"))
+    after = {r.sample_id: r.allocation for r in PL.allocation_after(registry, run).collect()}
+    assert after[min(members)] == "IGNORED" and after[max(members)] == "RESERVED_EVALUATION"
+    assert PL.reserve(df, df.limit(0)).members.count() == 0
+
+
 def test_policy():
     p = policy.validated({"selection": {"share_percent": 5}, "pairs": {"en-fa": {"quotas": {"domain_floor": 10}}}})
     assert p["selection"]["share_percent"] == 5 and p["selection"]["dev_share"] == 0.5 and policy.for_pair(p, "en-fa")["quotas"]["domain_floor"] == 10

@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from ..functions import language as L
 from ..hashing import portable_hash, sql_hash
-from ..operators import allocation as A, contamination as C, dataset as D, ingest as I, quality as Q, selection as S
+from ..operators import allocation as A, contamination as C, dataset as D, ingest as I, pipeline as PL, quality as Q, selection as S
 from ..schema import RESERVED
 from ..storage import cut
 
@@ -471,6 +471,23 @@ def candidate_documents(spark, sf):
     return spark.createDataFrame([(c,) for c in chosen], "document string")
 
 
+def _reservation(spark, sf):
+    policy = {"selection": {"share_percent": 2.0, "max_rows": 500}, "contamination": {"least_shingles": 12}}
+    return PL.reserve_dataset(corpus(spark, sf), registry(spark, sf), D.Filters(), None, policy)
+
+
+@query()
+def reservation_members(spark, sf):
+    """A reservation of 2 % of the trainable rows: members with split and review flag."""
+    return _reservation(spark, sf).members
+
+
+@query()
+def reservation_states(spark, sf):
+    """Allocations after that reservation, counted."""
+    return PL.allocation_after(registry(spark, sf), _reservation(spark, sf)).groupBy("allocation").agg(F.count("*").alias("n"))
+
+
 # Scans and aggregates over the star schema.
 
 
