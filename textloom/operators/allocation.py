@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, functions as F
 
+from .ranking import first_by_hash
 from ..schema import IGNORED, QUARANTINED, RESERVED, TRAINABLE
 
 
@@ -128,9 +129,10 @@ def historical_overlap(snapshot: DataFrame, reserved: DataFrame, keep_ids: int =
     The kept list is a report of bounded length; the count is over all rows.
     """
     hits = snapshot.join(reserved.select("sample_id").distinct(), "sample_id", "left_semi").select("snapshot_id", "sample_id").distinct()
-    from pyspark.sql import Window
-
-    bins = hits.groupBy("snapshot_id").agg(F.count("*").alias("n"))
-    first = hits.withColumn("_part", F.spark_partition_id()).withColumn("_r", F.row_number().over(Window.partitionBy("snapshot_id", "_part").orderBy("sample_id"))).filter(F.col("_r") <= keep_ids)
-    ids = first.groupBy("snapshot_id").agg(F.slice(F.array_sort(F.collect_list("sample_id")), 1, keep_ids).alias("ids"))
-    return bins.join(ids, "snapshot_id")
+    ends = hits.groupBy("snapshot_id").agg(F.min("sample_id").alias("lo"), F.max("sample_id").alias("hi"), F.count("*").alias("n"))
+    # Ids scaled to the range that the ranking bins, in their order: no snapshot is sorted whole.
+    scaled = ((F.col("sample_id") - F.col("lo")).cast("double") / (F.col("hi") - F.col("lo") + 1) * 2.0**32).cast("long")
+    placed = hits.join(ends, "snapshot_id").withColumn("_at", F.least(scaled, F.lit(2**32 - 1))).select("snapshot_id", "sample_id", "_at")
+    first = first_by_hash(placed, ["snapshot_id"], "_at", ["sample_id"], F.lit(keep_ids))
+    ids = first.groupBy("snapshot_id").agg(F.array_sort(F.collect_list("sample_id")).alias("ids"))  # keep_ids at most
+    return ends.select("snapshot_id", "n").join(ids, "snapshot_id")

@@ -217,8 +217,9 @@ def heuristic_select(rows: DataFrame, n: int, seed: int = 42) -> DataFrame:
 
 
 def random_select(rows: DataFrame, n: int, seed: int = 42) -> DataFrame:
-    """n rows in the order of their hash: the top-k operator, no sort."""
-    return rows.withColumn("_h", portable_hash(F.col("sample_id"), str(seed))).orderBy("_h", "sample_id").limit(n).drop("_h")
+    """The n rows of the least hash; the binned ranking keeps what any task holds small, whatever n."""
+    hashed = rows.withColumn("_h", portable_hash(F.col("sample_id"), str(seed))).withColumn("_all", F.lit(0))
+    return first_by_hash(hashed, ["_all"], "_h", ["sample_id"], F.lit(n)).drop("_h", "_all")
 
 
 SELECTORS = {"heuristic": heuristic_select, "random": random_select}

@@ -137,12 +137,12 @@ def batch_stats_grouping(spark, sf):
     return I.batch_statistics(metadata(spark, sf))
 
 
-@query("select o.kind, count(s.id) as samples, count(distinct o.id) as sources, avg(s.quality) as quality from sources o left join samples s on s.source_id = o.id group by 1")
+@query("select o.kind, count(s.id) as samples, count(distinct o.id) as sources, round(avg(s.quality), 6) as quality from sources o left join samples s on s.source_id = o.id group by 1")
 def sources_outer_join(spark, sf):
     o, s = table(spark, sf, "sources"), table(spark, sf, "samples").select(F.col("id").alias("s_id"), "source_id", "quality")
     per = s.groupBy("source_id").agg(F.count("s_id").alias("n"), F.sum("quality").alias("q"), F.count("quality").alias("c"))
     j = o.join(per, o["id"] == per["source_id"], "left")
-    return j.groupBy("kind").agg(F.coalesce(F.sum("n"), F.lit(0)).alias("samples"), F.countDistinct("id").alias("sources"), (F.sum("q") / F.sum("c")).alias("quality"))
+    return j.groupBy("kind").agg(F.coalesce(F.sum("n"), F.lit(0)).alias("samples"), F.countDistinct("id").alias("sources"), F.round(F.sum("q") / F.sum("c"), 6).alias("quality"))
 
 
 @query("""select count(*) as samples, count(*) filter (allocation = 'TRAINABLE') as trainable, count(*) filter (allocation = 'RESERVED_EVALUATION') as reserved,
