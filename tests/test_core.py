@@ -170,6 +170,24 @@ def test_reservation(spark):
     assert PL.reserve(df, df.limit(0)).members.count() == 0
 
 
+def test_vectors_and_evaluation_sets(spark):
+    from textloom.functions.embedding import embedded
+    from textloom.operators import evalset as V
+
+    df = spark.createDataFrame([(1, "the cat sat"), (2, "The cat  sat"), (3, "entirely different"), (4, None), (5, "")], "id long, t string")
+    v = embedded(df, "id", "t")
+    near = {(r.a, r.b) for r in S.embedding_links(v, "id", "v", 0.95).collect()}
+    assert near == {(1, 2)}
+    hit = C.similar(v, "id", "v", v.filter("id = 1").select("id", "v"), 0.9)
+    assert [(r.id, r.ref_id) for r in hit.collect()] == [(2, 1)]
+    rows = spark.createDataFrame([(1, 0.9, 7), (2, 0.2, 7), (3, None, 7)], "sample_id long, quality double, n int")
+    reg = spark.createDataFrame([(1, "RESERVED_EVALUATION"), (2, "RESERVED_EVALUATION"), (3, "TRAINABLE")], "sample_id long, allocation string")
+    members = V.members_of(reg.select("sample_id"), 4, 10)
+    assert ids(V.rows(rows, reg, members, D.Filters(min_quality=0.5))) == [1] and V.rows(rows, reg, members, D.Filters(), limit=1).count() == 1
+    b = spark.createDataFrame([(1, "ready"), (2, "importing")], "id int, status string")
+    assert {r.id: r.status for r in V.batch_status(V.batch_status(b, 1, "rejected"), 2, "rejected").collect()} == {1: "rejected", 2: "importing"}
+
+
 def test_policy():
     p = policy.validated({"selection": {"share_percent": 5}, "pairs": {"en-fa": {"quotas": {"domain_floor": 10}}}})
     assert p["selection"]["share_percent"] == 5 and p["selection"]["dev_share"] == 0.5 and policy.for_pair(p, "en-fa")["quotas"]["domain_floor"] == 10

@@ -4,9 +4,9 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from ..functions import language as L
+from ..functions import embedding as E, language as L
 from ..hashing import portable_hash, sql_hash
-from ..operators import allocation as A, contamination as C, dataset as D, ingest as I, pipeline as PL, quality as Q, selection as S
+from ..operators import allocation as A, contamination as C, dataset as D, evalset as V, ingest as I, pipeline as PL, quality as Q, selection as S
 from ..schema import RESERVED
 from ..storage import cut
 
@@ -311,6 +311,21 @@ def eval_set_sample(spark, sf):
     return s.join(m, "sample_id").withColumn("h", portable_hash(F.col("sample_id"), "7")).orderBy("h", "sample_id", "id").limit(100).select("sample_id", "batch_id", "evaluation_split")
 
 
+@query(f"""select sample_id, batch_id, reservation_id, evaluation_split from (select c.sample_id, c.batch_id, m.reservation_id, m.evaluation_split, row_number() over (order by {_h('c.sample_id')}, c.sample_id, m.reservation_id) as k
+  from {_META} c join dataset_reservation_samples m on m.sample_id = c.sample_id where c.sample_id in (select id from samples where allocation = 'RESERVED_EVALUATION') and m.evaluation_split in ('test') and c.quality >= 0.5) where k <= 60""")
+def evaluation_set_rows(spark, sf):
+    """Sixty reserved test rows of good quality with their memberships."""
+    f = D.Filters(evaluation_split=["test"], min_quality=0.5)
+    return V.rows(metadata(spark, sf), registry(spark, sf), table(spark, sf, "dataset_reservation_samples"), f, limit=60).select("sample_id", "batch_id", "reservation_id", "evaluation_split")
+
+
+@query()
+def eval_item_vectors(spark, sf):
+    """Documents whose hashed n-gram vector is near an evaluation item's."""
+    items = E.embedded(table(spark, sf, "eval_items"), "item_id", "text").select(F.col("item_id").alias("id"), "v")
+    return C.similar(E.embedded(table(spark, sf, "documents"), "doc_id", "text"), "doc_id", "v", items, 0.8)
+
+
 _GATE = f"""with d as (select doc_id, {_TOKENS.format('text')} as w from documents), e as (select item_id, {_TOKENS.format('text')} as w from eval_items),
   ds as (select distinct doc_id, unnest(case when len(w) >= 3 then [w[i] || ' ' || w[i+1] || ' ' || w[i+2] for i in range(1, len(w) - 1)] when len(w) > 0 then [array_to_string(w, ' ')] else [] end) as s from d),
   es as (select distinct item_id, unnest(case when len(w) >= 3 then [w[i] || ' ' || w[i+1] || ' ' || w[i+2] for i in range(1, len(w) - 1)] when len(w) > 0 then [array_to_string(w, ' ')] else [] end) as s from e)"""
