@@ -160,6 +160,21 @@ def test_garbled_text_is_restored(wrong):
     assert garbled.all() and fixed[0].as_py() == GOOD[4]
 
 
+@pytest.mark.parametrize("true,wrong", [("koi8-r", "cp1251"), ("cp1251", "koi8-r")])
+def test_letters_of_the_same_script_are_restored(true, wrong):
+    russian = ["Это обычный русский текст про погоду и море", "В городе рано утром судья и адвокат"]
+    counts = np.zeros(2 * mojibake.BUCKETS, np.int64)
+    for places in mojibake._places(mojibake._tokens(pa.array((russian + ["la explicación"]) * 60 + ["х"]))):
+        counts += np.bincount(places, minlength=2 * mojibake.BUCKETS)
+    r = mojibake.Repairer(counts.astype(np.int32))
+    good, garbled, _ = r.column(pa.array(russian + [None, "", "Really?Yes, why?"]))
+    assert not garbled.any() and good.to_pylist()[:2] == russian
+    fixed, garbled, lost = r.column(pa.array([*(x.encode(true).decode(wrong) for x in russian), russian[0].upper().encode(true).decode(wrong)]))
+    assert garbled.all() and not lost.any() and fixed.to_pylist() == [*russian, russian[0].upper()]
+    _, garbled, lost = r.column(pa.array(["la explica??o", "EXPLICA??O", "Фран?ия", "la explica?o"]))
+    assert garbled.all() and lost.all()
+
+
 def test_languages(spark):
     texts = {"en": "the reporter explained with many details why the contract and the verdict needed more time", "de": "der Reporter erklärte mit vielen Berichten warum der Vertrag und das Urteil mehr Zeit brauchten", "ru": "репортёр объяснил на многих примерах почему договор и приговор потребовали больше времени"}
     rows = [(f"{lang}{i}", " ".join(random.Random(i).sample(t.split(), 10)), lang if i % 9 else "xx") for lang, t in texts.items() for i in range(40)]

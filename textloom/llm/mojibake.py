@@ -6,8 +6,9 @@ twice) gives sequences that correct text does not hold; one single-byte
 encoding read as another gives single characters that correct text may hold.
 
 An Aho-Corasick automaton over all of them finds what a blank-delimited piece of
-text contains.  Only pieces with a character outside the plain alphabets are
-looked at.  Sequences decide by themselves; for single characters the pair is
+text contains.  Looked at are texts with a character outside the plain alphabets
+and texts with a word that another encoding of its script (koi8-r and cp1251 read
+as each other) makes far more frequent.  Sequences decide by themselves; for single characters the pair is
 taken whose restored words are far more frequent in the corpus than the piece as
 it stands (``token_counts``, over all texts), so that correct accents, capitals
 and typographic marks stay.  Matched spans are replaced, the rest of the text is
@@ -45,8 +46,10 @@ ALPHABET = [
 
 #: Characters of plain texts: a piece with only these and ASCII is not looked at.
 _PLAIN = "\\u0300-\\u036f\\u0401\\u0410-\\u044f\\u0451\\u0600-\\u06ff\\u200c-\\u200f\\uff10-\\uff19“”„‘’«»–—…"
-_ODD = re.compile(f"[^\\x00-\\x7f{_PLAIN}]|[A-Za-z][\\u0370-\\u06ff]|[\\u0370-\\u06ff][A-Za-z]|[a-z]\\?[a-z]|\\?\\?\\?|(?:^|[\\s(])\\?[A-Za-z]")
-_LOST = re.compile(r"�|[a-z]\?[a-z]|\?\?\?|(?:^|[\s(])\?[a-zäöüA-Z]")
+# Question marks for lost letters; a capital after a small letter and a mark is the next sentence.
+_MISSING = r"[^\W\d_A-Z]\?+[^\W\d_A-Z]|[A-Z]\?+[^\W\d_]|\?\?\?|(?:^|[\s(])\?+[^\W\d_]"
+_ODD = re.compile(f"[^\\x00-\\x7f{_PLAIN}]|[A-Za-z][\\u0370-\\u06ff]|[\\u0370-\\u06ff][A-Za-z]|{_MISSING}")
+_LOST = re.compile(f"�|{_MISSING}")
 _PIECE = re.compile(r"[^ \t\r\n]+")
 _TOKEN = re.compile(r"[^\W\d_]+|[^\w\s\x00-\x7f]")
 _WORD = re.compile(r"[^\W\d_]+")
@@ -198,6 +201,15 @@ class Repairer:
         self.known: dict[str, tuple[str, tuple | None, bool]] = {}
         # Suspicious code points: what makes a text worth a closer look.
         self.odd = np.array([bool(re.match(f"[^\\x00-\\x7f{_PLAIN}]", chr(c))) for c in range(0x10000)])
+        # Pairs that make plain letters of others of their script, as lower-case code points by code point.
+        self.swaps: list[np.ndarray] = []
+        low, kinds = _kinds()
+        for table in self.single.values():
+            inside = {c: ord(g) for c, g in table.items() if not self.odd[c] and c >= 0x370 and kinds[c] == LETTER and c >> 8 == ord(g) >> 8 and kinds[ord(g)] == LETTER}
+            if len(inside) > 20:
+                swap = low.copy()
+                swap[list(inside)] = low[list(inside.values())]
+                self.swaps.append(swap)
 
     def frequency(self, tokens: list[str]) -> np.ndarray:
         if not tokens:
@@ -206,6 +218,33 @@ class Repairer:
         a, b = _places(tb.word_hashes(codes, offs[:-1], offs[1:]))
         return np.minimum(self.counts[a], self.counts[b]).astype(np.int64)
 
+    def rereadable(self, codes: np.ndarray, offs: np.ndarray) -> np.ndarray:
+        """Which texts hold a plain word that another encoding of its script makes MORE times as frequent."""
+        low, kinds = _kinds()
+        inside = np.minimum(codes, 0xFFFF)
+        cut = np.zeros(len(codes) + 1, bool)
+        cut[offs] = True
+        letter = (codes < 0x10000) & (kinds[inside] == LETTER)
+        starts = np.flatnonzero(letter & (~np.concatenate([[False], letter[:-1]]) | cut[:-1]))
+        ends = np.flatnonzero(letter & (~np.concatenate([letter[1:], [False]]) | cut[1:])) + 1
+        script = codes[starts] >= 0x370
+        starts, ends = starts[script], ends[script]
+        found = np.zeros(len(offs) - 1, bool)
+        if not len(starts):
+            return found
+
+        def frequent(by: np.ndarray) -> np.ndarray:
+            a, b = _places(tb.word_hashes(by[inside].astype(np.uint32), starts, ends))
+            return np.minimum(self.counts[a], self.counts[b]).astype(np.int64)
+
+        now = frequent(low)
+        few = now <= self.common
+        starts, ends, now = starts[few], ends[few], now[few]
+        row = np.searchsorted(offs, starts, "right") - 1
+        for swap in self.swaps if len(starts) else ():
+            found[row[frequent(swap) + 1 >= MORE * (now + 1)]] = True
+        return found
+
     def has_sequence(self, text: str) -> bool:
         """Whether the text holds a sequence that only wrong decoding makes."""
         return next(self.certain.iter(text), None) is not None
@@ -319,7 +358,9 @@ class Repairer:
         # Letters for letters of another script: one piece alone may be chance.
         if pair and votes[pair] < 2 and any(x == pair and m.group().strip("".join(_MARKS) + ".,;:()").isalpha() and _FOREIGN_ANY.search(good) for m, good, x in done):
             pair = None
-        done = [d for d in done if d[2] is None or d[2] == pair or not _FOREIGN_ANY.search(d[1])]
+        others = [d[0] for d in done if not (d[2] is None or d[2] == pair or not _FOREIGN_ANY.search(d[1]))]
+        done = [d for d in done if d[0] not in others]
+        left += others if pair else []
         garbled = lost or bool(done)
         edits = [(m.start(), m.end(), good) for m, good, _ in done if good != m.group()]
         # What could not be decided alone is read back as the text around it was.
@@ -368,9 +409,10 @@ class Repairer:
             other = (codes >= 0x370) & (codes <= 0x6FF)
             latin = ((codes | 32) >= 97) & ((codes | 32) <= 122)
             sus[1:] |= (other[1:] & latin[:-1]) | (other[:-1] & latin[1:])
-            for i in np.flatnonzero(row_sums(sus.astype(np.int64), offs)):
+            again = self.rereadable(codes, offs)
+            for i in np.flatnonzero((row_sums(sus.astype(np.int64), offs) > 0) | again):
                 t = part[int(i)].as_py()
-                if not _ODD.search(t):
+                if not again[i] and not _ODD.search(t):
                     continue
                 good, garbled[lo + i], lost[lo + i] = self.text(t)
                 if good != t:
