@@ -170,6 +170,18 @@ def test_reservation(spark):
     assert PL.reserve(df, df.limit(0)).members.count() == 0
 
 
+def test_registered_reservation_keeps_the_default_sizes(spark, monkeypatch):
+    from textloom.plans import queries
+
+    given = []
+    monkeypatch.setattr(queries.PL, "reserve_dataset", lambda corpus, registry, filters, rules, policy: given.append(policy))
+    queries._reservation(spark, DATA)
+    p = policy.validated(given[0])
+    assert p["selection"] == policy.DEFAULT["selection"] and p["candidates"] == policy.DEFAULT["candidates"]
+    target = S.target_size(318_560, p["selection"]["share_percent"], p["selection"]["max_rows"])
+    assert target == 5_000 and S.candidate_limit(318_560, target, **p["candidates"]) == 50_000
+
+
 def test_vectors_and_evaluation_sets(spark):
     from textloom.functions.embedding import embedded
     from textloom.operators import evalset as V

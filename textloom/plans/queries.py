@@ -487,13 +487,13 @@ def candidate_documents(spark, sf):
 
 
 def _reservation(spark, sf):
-    policy = {"selection": {"share_percent": 2.0, "max_rows": 500}, "contamination": {"least_shingles": 12}}
+    policy = {"contamination": {"least_shingles": 12}}
     return PL.reserve_dataset(corpus(spark, sf), registry(spark, sf), D.Filters(), None, policy)
 
 
 @query()
 def reservation_members(spark, sf):
-    """A reservation of 2 % of the trainable rows: members with split and review flag."""
+    """A reservation of 2 % of the trainable rows, 5,000 at most: members with split and review flag."""
     return _reservation(spark, sf).members
 
 
