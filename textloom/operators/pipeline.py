@@ -1,9 +1,10 @@
-"""Reserving evaluation data end to end: candidates, selection, splits, holdout, scan, states.
+"""Reserving evaluation data end to end: candidates, selection, splits, scan, states.
 
 The order is fixed: annotate, exact and near deduplication, quotas per
-(pair, domain, length bucket), top-up of rare phenomena, held-out documents,
-development and test, rows for human review, scan of all rows.  Rows stay in
-DataFrames throughout; the driver sees counts per cell and a report.
+(pair, domain, length bucket), top-up of rare phenomena, development and test,
+rows for human review, scan of all rows.  There is no choice of held-out
+documents.  Rows stay in DataFrames throughout; the driver sees counts per cell
+and a report.
 """
 
 from __future__ import annotations
