@@ -2,6 +2,7 @@
 
 import json
 import os
+import random
 
 import pytest
 from pyspark.sql import functions as F
@@ -109,6 +110,27 @@ def test_minhash_links_against_brute_force(spark):
     assert got == {(1, 2), (1, 3)}
 
 
+def test_minhash_links_lose_no_pair(spark, monkeypatch):
+    rows = []
+    for i in range(4000):
+        words = [f"w{i}x{k}" for k in range(10)]
+        rows += [(2 * i, " ".join(words[:9])), (2 * i + 1, " ".join(words[1:]))]
+    df = spark.createDataFrame(rows, "i long, t string").repartition(4)
+    want = {(2 * i, 2 * i + 1) for i in range(4000)}
+    assert {(r.a, r.b) for r in S.minhash_links(df, "i", F.col("t"), F.lit("g"), 0.8, 1).collect()} == want
+    # Shingles that are all hot: pairs of few, some and many words.
+    monkeypatch.setattr(S.P, "HOT_ROWS", 1)
+    rng = random.Random(6)
+    few = []
+    for size in (1, 2, 3, 5, 12, 90, 110):
+        words = [f"h{k}" for k in range(size + 3)]
+        few += [set(rng.sample(words, size)) for _ in range(8)]
+    got = {(r.a, r.b) for r in S.minhash_links(spark.createDataFrame([(i, " ".join(sorted(x))) for i, x in enumerate(few)], "i long, t string"), "i", F.col("t"), F.lit("g"), 0.8, 1).collect()}
+    near = {(a, b) for b in range(len(few)) for a in range(b) if len(few[a] & few[b]) >= 0.8 * len(few[a] | few[b]) and few[a] != few[b] and few.index(few[a]) == a and few.index(few[b]) == b}
+    same = {(few.index(x), i) for i, x in enumerate(few) if few.index(x) != i}
+    assert got == near | same and len(near) > 20
+
+
 def test_embedding_links_and_k_center(spark):
     v = spark.createDataFrame([(1, [1.0, 0.0], "c"), (2, [0.999, 0.01], "c"), (3, [0.0, 1.0], "c"), (4, [0.0, 0.0], "c"), (5, None, "c")], "id long, v array<double>, cell string")
     assert {(r.a, r.b) for r in S.embedding_links(v, "id", "v", 0.95, tables=8, bits=4).collect()} == {(1, 2)}

@@ -10,11 +10,13 @@ import math
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from .ranking import first_by_hash, keep_first
 from ..functions import language as L
 from ..hashing import portable_hash
+from ..llm import pairs as P
 from ..storage import cut
 
 
@@ -111,8 +113,11 @@ def keep_unlinked(ids: DataFrame, links: DataFrame) -> DataFrame:
     return ids if dropped is None else ids.join(dropped, "id", "left_anti")
 
 
-def minhash_links(rows: DataFrame, id_col: str, text: Column, group: Column, threshold: float = 0.85, n: int = 3, bands: int = 16, width: int = 5) -> DataFrame:
-    """(a, b, jaccard): pairs of one group that share a MinHash band and whose exact shingle overlap reaches the threshold.
+def minhash_links(rows: DataFrame, id_col: str, text: Column, group: Column, threshold: float = 0.85, n: int = 3) -> DataFrame:
+    """(a, b, jaccard): all pairs of one group whose exact shingle overlap reaches the threshold.
+
+    Candidates share a posting key of their rare prefixes, which no pair of that
+    overlap lacks; hot shingles are posted in sets (``llm.pairs.emit_keys``).
 
     Texts with equal shingle sets are one class, linked to their smallest id only,
     so a text that occurs very often yields one link an occurrence.
@@ -120,14 +125,28 @@ def minhash_links(rows: DataFrame, id_col: str, text: Column, group: Column, thr
     words = rows.select(F.col(id_col).alias("id"), group.alias("g"), F.array_sort(F.transform(L.shingles(L.tokens(text), n), lambda x: F.xxhash64(x))).alias("s")).filter(F.size("s") > 0)
     marked = cut(words.withColumn("c", F.xxhash64("g", "s")), "minhash-rows")
     reps = cut(marked.groupBy("c").agg(F.min("id").alias("id")).join(marked, ["c", "id"]).select("c", "id", "g", "s").dropDuplicates(["c"]), "minhash-classes")
-    # One hash function a row of the signature: a bijection of the shingle hash, least value kept.
-    def least(k: int) -> Column:
-        return F.array_min(F.transform("s", lambda x: F.xxhash64(x, F.lit(k))))
-
-    mins = [least(k) for k in range(bands * width)]
-    keys = F.array(*[F.xxhash64(F.lit(b), "g", *mins[b * width : (b + 1) * width]) for b in range(bands)])
-    posted = reps.select("id", F.size("s").alias("n"), F.explode(keys).alias("k"))
-    found = posted.alias("x").join(posted.alias("y"), (F.col("x.k") == F.col("y.k")) & (F.col("x.id") < F.col("y.id")) & (F.least("x.n", "y.n") >= threshold * F.greatest("x.n", "y.n")))
+    counts = reps.sparkSession.sparkContext.broadcast(P.term_counts(reps, "s"))
+    hot = P.HOT_ROWS if threshold >= P.THRESHOLD else 1 << 62  # the sets are complete from that threshold on
+
+    def post(batches):
+        for batch in batches:
+            for lo in range(0, batch.num_rows, 1000):
+                b = batch.slice(lo, 1000)
+                offs = b.column(2).offsets.to_numpy().astype(np.int64)
+                words, offs = b.column(2).values.to_numpy()[offs[0] : offs[-1]].view(np.uint64), offs - offs[0]
+                size = np.diff(offs)
+                least = np.ceil(threshold * size - 1e-9).astype(np.int64)  # shingles shared with any partner
+                w, c = P.by_rarity(words, offs, counts.value)
+                row, keys = P.emit_keys(w, c, offs, [size - least + m for m in (1, 2, 3)], [least < 2, least < 3], hot)
+                at = pa.array(row)
+                cols = [b.column(0).take(at), b.column(1).take(at), pa.array(size.astype(np.int32)).take(at), pa.array(P.signature(words, offs)).take(at), pa.array(keys)]
+                yield pa.RecordBatch.from_arrays(cols, ["id", "g", "n", "bits", "k"])
+
+    kinds = dict(reps.dtypes)
+    posted = reps.select("id", "g", "s").mapInArrow(post, f"id {kinds['id']}, g {kinds['g']}, n int, bits long, k long").withColumn("k", F.xxhash64("g", "k")).drop("g")
+    # Parity bitmaps differ in no more bits than the sets in shingles.
+    may = F.expr(f"bit_count(x.bits ^ y.bits) <= (x.n + y.n) * {(1 - threshold) / (1 + threshold)!r} + 1e-9")
+    found = posted.alias("x").join(posted.alias("y"), (F.col("x.k") == F.col("y.k")) & (F.col("x.id") < F.col("y.id")) & (F.least("x.n", "y.n") >= threshold * F.greatest("x.n", "y.n")) & may)
     pairs = cut(found.select(F.col("x.id").alias("a"), F.col("y.id").alias("b")).distinct(), "minhash-pairs")
     left, right = reps.select(F.col("id").alias("a"), F.col("s").alias("sa")), reps.select(F.col("id").alias("b"), F.col("s").alias("sb"))
     i = F.size(F.array_intersect("sa", "sb"))
