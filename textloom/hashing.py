@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import numpy as np
 from pyspark.sql import Column, functions as F
 
 #: Hexadecimal digits of md5 that make a bucket: 32 bits, or 48 where finer.
@@ -22,3 +23,14 @@ def unit_hash(*parts: Column | str, digits: int = FINE_DIGITS) -> Column:
 def sql_hash(text: str, digits: int = DIGITS) -> str:
     """``portable_hash`` of an SQL text expression, in DuckDB's dialect."""
     return f"('0x' || substr(md5({text}), 1, {digits}))::BIGINT"
+
+
+def mix(h: np.ndarray) -> np.ndarray:
+    """A 64-bit finaliser over an array: every input bit moves every output bit."""
+    h = h.astype(np.uint64, copy=True)
+    h ^= h >> np.uint64(30)
+    h *= np.uint64(0xBF58476D1CE4E5B9)
+    h ^= h >> np.uint64(27)
+    h *= np.uint64(0x94D049BB133111EB)
+    h ^= h >> np.uint64(31)
+    return h

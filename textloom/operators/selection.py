@@ -14,9 +14,8 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from .ranking import first_by_hash, keep_first
-from ..functions import language as L
+from ..functions import language as L, postings as P
 from ..hashing import portable_hash
-from ..llm import pairs as P
 from ..storage import cut
 
 
@@ -117,7 +116,7 @@ def minhash_links(rows: DataFrame, id_col: str, text: Column, group: Column, thr
     """(a, b, jaccard): all pairs of one group whose exact shingle overlap reaches the threshold.
 
     Candidates share a posting key of their rare prefixes, which no pair of that
-    overlap lacks; hot shingles are posted in sets (``llm.pairs.emit_keys``).
+    overlap lacks; hot shingles are posted in sets (``postings.emit_keys``).
 
     Texts with equal shingle sets are one class, linked to their smallest id only,
     so a text that occurs very often yields one link an occurrence.
@@ -126,7 +125,7 @@ def minhash_links(rows: DataFrame, id_col: str, text: Column, group: Column, thr
     marked = cut(words.withColumn("c", F.xxhash64("g", "s")), "minhash-rows")
     reps = cut(marked.groupBy("c").agg(F.min("id").alias("id")).join(marked, ["c", "id"]).select("c", "id", "g", "s").dropDuplicates(["c"]), "minhash-classes")
     counts = reps.sparkSession.sparkContext.broadcast(P.term_counts(reps, "s"))
-    hot = P.HOT_ROWS if threshold >= P.THRESHOLD else 1 << 62  # the sets are complete from that threshold on
+    hot = P.HOT_ROWS if threshold >= P.COMPLETE_FROM else 1 << 62  # the sets are complete from that threshold on
 
     def post(batches):
         for batch in batches:
@@ -143,10 +142,10 @@ def minhash_links(rows: DataFrame, id_col: str, text: Column, group: Column, thr
                 yield pa.RecordBatch.from_arrays(cols, ["id", "g", "n", "bits", "k"])
 
     kinds = dict(reps.dtypes)
-    posted = reps.select("id", "g", "s").mapInArrow(post, f"id {kinds['id']}, g {kinds['g']}, n int, bits long, k long").withColumn("k", F.xxhash64("g", "k")).drop("g")
+    posted = cut(reps.select("id", "g", "s").mapInArrow(post, f"id {kinds['id']}, g {kinds['g']}, n int, bits long, k long").withColumn("k", F.xxhash64("g", "k")).drop("g"), "minhash-postings")
     # Parity bitmaps differ in no more bits than the sets in shingles.
     may = F.expr(f"bit_count(x.bits ^ y.bits) <= (x.n + y.n) * {(1 - threshold) / (1 + threshold)!r} + 1e-9")
-    found = posted.alias("x").join(posted.alias("y"), (F.col("x.k") == F.col("y.k")) & (F.col("x.id") < F.col("y.id")) & (F.least("x.n", "y.n") >= threshold * F.greatest("x.n", "y.n")) & may)
+    found = P.keyed_pairs(posted, posted, (F.col("x.id") < F.col("y.id")) & (F.least("x.n", "y.n") >= threshold * F.greatest("x.n", "y.n")) & may, "minhash")
     pairs = cut(found.select(F.col("x.id").alias("a"), F.col("y.id").alias("b")).distinct(), "minhash-pairs")
     left, right = reps.select(F.col("id").alias("a"), F.col("s").alias("sa")), reps.select(F.col("id").alias("b"), F.col("s").alias("sb"))
     i = F.size(F.array_intersect("sa", "sb"))
