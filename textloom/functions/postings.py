@@ -122,19 +122,24 @@ def signature(words: np.ndarray, offs: np.ndarray) -> np.ndarray:
     return (total[offs[1:]] ^ total[offs[:-1]]).view(np.int64)
 
 
-def keyed_pairs(left: DataFrame, right: DataFrame, may: Column, name: str, block: int = BLOCK_ROWS) -> DataFrame:
+def keyed_pairs(left: DataFrame, right: DataFrame, may: Column, name: str, block: int = BLOCK_ROWS, right_counts: DataFrame | None = None) -> DataFrame:
     """The join of two written posting tables (k, ...), aliased x and y, on k and *may*.
 
     Where a key has more than *block* rows on a side, that side's rows of it are
     cut into blocks by a hash of the row and every block meets every block of
     the other side: the result is the same, and no task joins more than about
-    *block* x *block* rows of one key.
+    *block* x *block* rows of one key.  right_counts: (k, n) of the keys with more
+    than *block* rows on the right, where they have been counted before.
     """
 
-    def heavy(side: DataFrame, blocks: str) -> DataFrame:
-        return side.groupBy("k").agg(F.count("*").alias("n")).filter(F.col("n") > block).select("k", F.ceil(F.col("n") / block).cast("int").alias(blocks))
+    def heavy(counts: DataFrame, blocks: str) -> DataFrame:
+        return counts.filter(F.col("n") > block).select("k", F.ceil(F.col("n") / block).cast("int").alias(blocks))
 
-    sides = heavy(left, "bx").join(heavy(right, "by"), "k", "full") if left is not right else heavy(left, "bx").withColumn("by", F.col("bx"))
+    def counted(side: DataFrame) -> DataFrame:
+        return side.groupBy("k").agg(F.count("*").alias("n"))
+
+    of_left = heavy(counted(left), "bx")
+    sides = of_left.withColumn("by", F.col("bx")) if left is right else of_left.join(heavy(counted(right) if right_counts is None else right_counts, "by"), "k", "full")
     hot = cut(sides, f"{name}-hot")
     if hot.isEmpty():
         return left.alias("x").join(right.alias("y"), (F.col("x.k") == F.col("y.k")) & may)
