@@ -52,8 +52,11 @@ def test_overlap_and_history_find_all_pairs(spark):
     df = spark.createDataFrame(rows, "id long, s string, t string")
     sides = spark.range(200).select("id", (F.col("id") % 3 == 0).alias("in_a"), (F.col("id") % 3 != 0).alias("in_b"))
     exact, got = overlap.near_same_between(df, sides, "id", "s", "t")
+    links, members, _ = overlap.links_between(df, sides, "id", "s", "t")
+    per = {r.id: r.partners for r in overlap.partners(links, members).collect()}
     want = near(rows, lambda x: x % 3 == 0, lambda x: x % 3 != 0)
     assert {tuple(r) for r in got.collect()} == want and len(want) > 5
+    assert per == {a: sum(x == a for x, _ in want) for a, _ in want}
     assert all(r.cosine >= overlap.cosine_bound(0.75) - 1e-6 for r in exact.collect())
     state = spark.range(200).select("id", (F.col("id") >= 80).alias("arriving"), (F.col("id") < 80).alias("accepted"))
     new = history.against_history(df, state, "id", "s", "t")
@@ -96,6 +99,38 @@ def test_history_grows_by_batches(spark, tmp_path):
     got = {(r.id_new, r.id_old) for r in again.probe(sets[2]).collect()}
     assert got == near(rows, lambda x: x % 3 == 2, lambda x: x % 3 != 2)
     assert again.probe(sets[2].limit(0)).count() == 0
+    again.compact()
+    assert again.generations == 1 and {(r.id_new, r.id_old) for r in again.probe(sets[2]).collect()} == got
+    # A generation whose manifest is missing never happened.
+    broken = history.HistoryIndex.open(spark, f"file://{tmp_path}/index")
+    broken._say = lambda *a: (_ for _ in ()).throw(OSError("lost"))
+    with pytest.raises(OSError):
+        broken.append(sets[2])
+    after = history.HistoryIndex.open(spark, f"file://{tmp_path}/index")
+    assert after.generations == 1 and {(r.id_new, r.id_old) for r in after.probe(sets[2]).collect()} == got
+    after.append(sets[2])
+    assert history.HistoryIndex.open(spark, f"file://{tmp_path}/index").generations == 2
+
+
+def test_probe_reads_few_postings_of_a_long_history(spark, tmp_path, monkeypatch):
+    """With folders of bounded size a small batch reads about as much of ten times the history."""
+    monkeypatch.setattr(history, "FOLDER_RECORDS", 20)
+    rng = random.Random(12)
+    record = lambda i: (i, " ".join(f"v{rng.randrange(9000)}" for _ in range(8)), "t" + str(i))
+    rows = [record(i) for i in range(3000)]
+    batch = [(9000, rows[5][1], rows[5][2]), (9001, "x y z", "q")]
+    df = lambda r: pairs.word_sets(spark.createDataFrame(r, "id long, s string, t string"), "id", "s", "t").cache()
+    read = []
+    for k, n in enumerate((300, 3000)):
+        index = history.HistoryIndex.create(spark, f"file://{tmp_path}/{k}", df(rows[:n]))
+        for part in range(0, n, n // 3):
+            index.append(df(rows[part : part + n // 3]))
+        index.compact()
+        new = history.prefix_postings(df(batch), index.counts)
+        read.append(index.postings(new.select("k")).count())
+        assert read[-1] < index.postings().count() * (0.6 if n == 300 else 0.1)
+        assert {(r.id_new, r.id_old) for r in index.probe(df(batch)).collect()} == {(9000, 5)}
+    assert read[1] < 1.6 * read[0]
 
 
 def test_split_components(spark):

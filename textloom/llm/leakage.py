@@ -33,7 +33,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F
 
 from . import textblock as tb
-from .pairs import _per_row
+from ..functions.postings import per_row as _per_row
 
 RUN, WINDOW, STEP = 16, 24, 8
 #: One word in this many of a whole item may be replaced or left out.

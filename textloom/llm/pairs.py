@@ -7,13 +7,8 @@ module holds what the cross-split join (``overlap``) and the history index
 
 * ``word_sets``   record -> sets of 32-bit word hashes per side, plus a class
                   hash that is equal for records written alike;
-* ``term_counts`` rows per hash bucket over all records: the global order;
-* ``emit_keys``   posting keys of each record's rare prefix.  Terms whose
-                  posting list would exceed ``hot`` rows are posted together with
-                  further terms only, and no pair is lost;
-* ``signature``   64-bit parity bitmap per side; the bits in which two differ
-                  never exceed the words in which the sets differ, so testing
-                  them inside the join drops unrelated pairs and no related one;
+* ``may_match``   length and bitmap filter inside the join of posting keys
+                  (``functions.postings``); it drops no related pair;
 * ``verify``      exact overlap of the surviving pairs.
 
 Nulls, empty texts and texts without letters or digits have no words and are
@@ -22,22 +17,15 @@ near-same to nothing.
 
 from __future__ import annotations
 
-import itertools
-
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, functions as F
 
 from . import textblock as tb
+from ..functions.postings import BUCKETS, by_rarity, emit_keys, keyed_pairs, lists, per_row, row_sums, signature, term_counts  # noqa: F401
 from ..storage import small_enough
 
 THRESHOLD = 0.75
-#: Buckets of the term statistics: 2**17 longs, whatever the corpus size.
-BUCKETS = 1 << 17
-#: Rows that one posting key may gather before it is split by a second term.
-HOT_ROWS = 1000
-#: Words of the rows whose hot tails are posted by single terms, pairs, triples.
-TAIL_KINDS = {1: (512, 1 << 40), 2: (96, 512), 3: (0, 96)}
 #: Ids up to this many are broadcast to thin a table before its shuffle; above, it is shuffled.
 BROADCAST_IDS = 200_000
 
@@ -55,12 +43,6 @@ def distinct_words(texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     return words, np.searchsorted(key >> np.uint64(32), np.arange(n + 1, dtype=np.uint64))
 
 
-def row_sums(values: np.ndarray, offs: np.ndarray) -> np.ndarray:
-    """Sum of each row's values; wraps for unsigned integers, 0 for empty rows."""
-    total = np.concatenate([np.zeros(1, values.dtype), np.cumsum(values, dtype=values.dtype)])
-    return total[offs[1:]] - total[offs[:-1]]
-
-
 def class_hash(words: np.ndarray, offs: np.ndarray) -> np.ndarray:
     """A 64-bit hash of each row's set, whatever its order."""
     return tb.mix(row_sums(tb.mix(words.astype(np.uint64) + np.uint64(0x51ED27)), offs) + np.diff(offs).astype(np.uint64))
@@ -82,86 +64,6 @@ def word_sets(df: DataFrame, id_col: str, source_col: str, target_col: str) -> D
     return df.select(F.col(id_col).cast("long").alias("id"), F.col(source_col).cast("string"), F.col(target_col).cast("string")).filter("id is not null").mapInArrow(run, SET_SCHEMA)
 
 
-def term_counts(sets: DataFrame, column: str = "sw") -> np.ndarray:
-    """Rows per term bucket over the whole table; BUCKETS longs reach the driver."""
-    got = sets.select(F.explode(column).alias("t")).groupBy(F.expr(f"t & {BUCKETS - 1}").alias("b")).agg(F.count("*").alias("n")).toArrow()
-    counts = np.zeros(BUCKETS, np.int64)
-    counts[got.column("b").to_numpy()] = got.column("n").to_numpy()
-    return counts
-
-
-def lists(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
-    """Flat values and starts of a list<int> column."""
-    offs = column.offsets.to_numpy().astype(np.int64)
-    return column.values.to_numpy()[offs[0] : offs[-1]].view(np.uint32), offs - offs[0]
-
-
-def by_rarity(words: np.ndarray, offs: np.ndarray, counts: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Each row's words, rarest first (ties by hash), and their counts."""
-    n = counts[words & np.uint32(BUCKETS - 1)]
-    row = np.repeat(np.arange(len(offs) - 1), np.diff(offs))
-    order = np.lexsort((words, n, row))
-    return words[order], n[order]
-
-
-def _per_row(count: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """For count[r] items of each row r: the row of every item and its number within the row."""
-    row = np.repeat(np.arange(len(count)), count)
-    return row, np.arange(len(row)) - np.repeat(np.cumsum(count) - count, count)
-
-
-def emit_keys(words: np.ndarray, counts: np.ndarray, offs: np.ndarray, p: list[np.ndarray], enough: list[np.ndarray], hot: int = HOT_ROWS) -> tuple[np.ndarray, np.ndarray]:
-    """Posting keys as (row, key), distinct.
-
-    words: rarest first.  Any qualifying pair shares at least m terms among both
-    rows' first p[m - 1], for m = 1, 2, 3, unless enough[m - 2] says that m - 1
-    shared terms can do for this row.
-
-    Terms of up to *hot* rows in the first prefix are keys by themselves.  Where
-    that prefix also holds hot terms, all terms after it are hot as well; a pair
-    that shares no rare term then shares m hot ones, so the m-subsets of the hot
-    tail are keys: triples for short rows, pairs and single terms for longer
-    ones, whose tails have too many triples.  Partners differ in length by at
-    most 1 / THRESHOLD; rows near a border between the kinds get both.
-    """
-    size = np.diff(offs)
-    base, p = offs[:-1], [np.minimum(x, size) for x in p]
-    h = tb.mix(words.astype(np.uint64) + np.uint64(0xA5A5A5A5A5))
-    row, k = _per_row(p[0])
-    at = base[row] + k
-    rare = counts[at] <= hot
-    rows, keys = [row[rare]], [h[at[rare]]]
-    n_rare = np.bincount(row[rare], minlength=len(size))
-    tail = n_rare < p[0]
-    edge = 1 / THRESHOLD
-    for m in (1, 2, 3):
-        lo, hi = TAIL_KINDS[m]
-        does = tail & (((size > lo / edge) & (size <= hi * edge)) | (enough[m - 1] if m < 3 else False))
-        length = np.where(does, p[m - 1] - n_rare, 0)
-        for n in np.unique(length[length >= m]):
-            which = np.flatnonzero(length == n)
-            sets = np.array(list(itertools.combinations(range(n), m)))
-            terms = np.sort(h[(base[which] + n_rare[which])[:, None, None] + sets[None]], axis=2)
-            key = terms[:, :, 0]
-            for x in range(1, m):
-                key = tb.mix(key * np.uint64(31) + terms[:, :, x])
-            rows.append(np.repeat(which, len(sets)))
-            keys.append(tb.mix(key + np.uint64(m)).ravel())
-    r, key = np.concatenate(rows), np.concatenate(keys)
-    order = np.lexsort((key, r))
-    r, key = r[order], key[order]
-    new = np.ones(len(r), bool)
-    new[1:] = (r[1:] != r[:-1]) | (key[1:] != key[:-1])
-    return r[new], key[new].view(np.int64)
-
-
-def signature(words: np.ndarray, offs: np.ndarray) -> np.ndarray:
-    """Parity bitmap of each row: bit b is set if an odd number of its words falls on b."""
-    bits = np.uint64(1) << (tb.mix(words.astype(np.uint64) + np.uint64(77)) & np.uint64(63))
-    total = np.concatenate([np.zeros(1, np.uint64), np.bitwise_xor.accumulate(bits)]) if len(bits) else np.zeros(1, np.uint64)
-    return (total[offs[1:]] ^ total[offs[:-1]]).view(np.int64)
-
-
 POSTING_SCHEMA = "k long, c long, n int, bs long, bt long"
 
 

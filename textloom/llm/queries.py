@@ -127,16 +127,17 @@ def p3_found(spark: SparkSession, sf: str) -> DataFrame:
 
 def p3_counts(spark: SparkSession, sf: str) -> DataFrame:
     """Overlapping reserved samples and their pairs by evaluation split and source."""
-    _, pairs = overlap.near_same_between(table(spark, sf, "corpus_rows"), _split_sides(spark, sf), "sample_id", "source_text", "target_text")
+    exact, members, _ = overlap.links_between(table(spark, sf, "corpus_rows"), _split_sides(spark, sf), "sample_id", "source_text", "target_text")
+    rows = overlap.partners(exact, members).withColumnRenamed("id", "id_a")
     split = table(spark, sf, "dataset_reservation_samples").select(F.col("sample_id").alias("id_a"), F.lower(F.trim("evaluation_split")).alias("evaluation_split")).distinct()
     source = table(spark, sf, "samples").select(F.col("id").alias("id_a"), "source_id")
-    return pairs.join(source, "id_a").join(split, "id_a", "left").groupBy("evaluation_split", "source_id").agg(F.countDistinct("id_a").alias("samples"), F.count("*").alias("pairs"))
+    return rows.join(source, "id_a").join(split, "id_a", "left").groupBy("evaluation_split", "source_id").agg(F.countDistinct("id_a").alias("samples"), F.sum("partners").alias("pairs"))
 
 
 def p7_found(spark: SparkSession, sf: str) -> DataFrame:
     """Near-same pairs of a sample of an importing batch with one of a ready batch."""
     status = table(spark, sf, "batches").select(F.col("id").alias("batch_id"), "status")
-    state = table(spark, sf, "samples").select("id", "batch_id").join(F.broadcast(status), "batch_id")
+    state = table(spark, sf, "samples").select("id", "batch_id").join(F.broadcast(status) if small_enough(status, 100_000) else status, "batch_id")
     state = state.select("id", (F.col("status") == "importing").alias("arriving"), (F.col("status") == "ready").alias("accepted"))
     return _ordered(history.against_history(table(spark, sf, "corpus_rows"), state, "sample_id", "source_text", "target_text"), "id_new", "id_old")
 
