@@ -109,7 +109,7 @@ def fit(records: DataFrame, id_col: str, sides: dict[str, tuple[str, str]]) -> n
     """The language filter from the records' own labels.  sides: name -> (label column, text column)."""
     texts = None
     for side, (label, text) in sides.items():
-        part = records.select(F.concat_ws("/", F.col(id_col).cast("string"), F.lit(side)).alias("key"), F.col(text).cast("string").alias("text"), F.col(label).alias("label")).filter("text is not null")
+        part = records.select(F.concat_ws("/", F.col(id_col).cast("string"), F.lit(side)).alias("key"), F.col(text).cast("string").alias("text"), F.col(label).alias("label"))
         texts = part if texts is None else texts.unionByName(part)
     return langid.train(texts)
 

@@ -5,8 +5,8 @@ a bit mask over languages, a lookup ANDs the slots of an n-gram and returns all
 languages that contain it at once.  Per-language popcounts, corrected for the
 filter's false positives, decide.
 
-* ``train`` fits the filter on at most ``TRAIN_TEXTS`` labelled texts of each
-  language (those with the smallest hash of id and side), a documented bound.  An
+* ``train`` fits the filter on about ``TRAIN_TEXTS`` labelled texts of each
+  language (those whose hash of id and side is below its share), a documented bound.  An
   n-gram enters the filter of a language if its rate there is at least
   ``MEMBER_SHARE`` of its highest rate, so that wrong labels do not count.
 * ``segments`` gives each word the popcounts of its n-grams (an n-gram of c
@@ -87,17 +87,16 @@ def slots_of(gram: np.ndarray) -> list[np.ndarray]:
 def train(texts: DataFrame, languages: tuple[str, ...] = LANGUAGES) -> np.ndarray:
     """The filter, a mask for each slot, from (key, text, label): key identifies the text, label may be wrong or null.
 
-    What reaches the driver is the filter itself, SLOTS masks at most.
+    Labels are counted first, then one scan draws the texts whose hash lies below
+    their language's share.  What reaches the driver is the filter itself, SLOTS
+    masks at most.
     """
     labelled = texts.withColumn("label", primary(F.col("label"))).filter(F.col("label").isin(*languages))
-    spark = texts.sparkSession
-    drawn = labelled.select("key", "label", portable_hash(F.col("key"), "langid", digits=12).alias("h"))
-    # The TRAIN_TEXTS least hashes of each language: a top-k of each, which no sort or shuffle of all rows precedes.
-    parts = [drawn.filter(F.col("label") == lang).orderBy("h", "key").limit(TRAIN_TEXTS).select("key") for lang in languages]
-    keys = parts[0]
-    for p in parts[1:]:
-        keys = keys.unionByName(p)
-    sample = labelled.join(F.broadcast(keys.distinct()), "key", "left_semi").select("text", F.array_position(F.array(*map(F.lit, languages)), F.col("label")).cast("int").alias("lang"))
+    have = {r.label: r.n for r in labelled.groupBy("label").agg(F.count("*").alias("n")).collect()}  # one a language
+    limit = [F.lit(x) for lang, n in have.items() for x in (lang, float(16**12) * min(1.0, TRAIN_TEXTS / n))]
+    below = F.element_at(F.create_map(*limit), F.col("label")) if limit else F.lit(0.0)
+    drawn = labelled.filter(portable_hash(F.col("key"), "langid", digits=12) < below)
+    sample = drawn.select("text", F.array_position(F.array(*map(F.lit, languages)), F.col("label")).cast("int").alias("lang"))
 
     def count(batches):
         for b in batches:
@@ -116,29 +115,40 @@ def train(texts: DataFrame, languages: tuple[str, ...] = LANGUAGES) -> np.ndarra
     rate = F.create_map(*[F.lit(x) for kv in total.items() for x in kv]) if total else F.create_map(F.lit(0), F.lit(1))
     rows = counts.withColumn("r", F.col("n") / F.element_at(rate, F.col("lang")))
     most = rows.groupBy("g").agg(F.max("r").alias("most"), F.collect_list(F.struct("lang", "n", "r")).alias("by"))  # at most one entry a language
-    masks = most.select("g", F.explode("by").alias("x"), "most").filter(f"x.n >= {LEAST_COUNT} and x.r >= {MEMBER_SHARE} * most").groupBy("g").agg(F.bit_or(F.expr("cast(shiftleft(1, x.lang) as int)")).alias("mask")).toArrow()
-    table = np.zeros(SLOTS, np.uint16)
-    g, m = masks.column("g").to_numpy().view(np.uint64), masks.column("mask").to_numpy().astype(np.uint16)
+    masks = most.select("g", F.explode("by").alias("x"), "most").filter(f"x.n >= {LEAST_COUNT} and x.r >= {MEMBER_SHARE} * most").groupBy("g").agg(F.bit_or(F.expr("shiftleft(1L, x.lang)")).alias("mask")).toArrow()
+    table = np.zeros(SLOTS, mask_type(len(languages)))
+    g, m = masks.column("g").to_numpy().view(np.uint64), masks.column("mask").to_numpy().view(np.uint64).astype(table.dtype)
     for slot in slots_of(g):
         np.bitwise_or.at(table, slot, m)
     return table
 
 
+def mask_type(languages: int) -> type:
+    """The least unsigned integer with a bit for each language."""
+    if languages > 64:
+        raise ValueError("a filter holds at most 64 languages")
+    return np.uint16 if languages <= 16 else np.uint32 if languages <= 32 else np.uint64
+
+
 class Detector:
     """The filter with its false-positive corrections."""
 
     def __init__(self, table: np.ndarray, languages: tuple[str, ...] = LANGUAGES) -> None:
         self.table, self.languages = table, languages
         n = len(languages)
-        fill = np.array([((table >> i) & 1).mean() for i in range(n)])
-        wrong = fill**HASHES
-        every = np.arange(1 << n)
-        bits = ((every[:, None] >> np.arange(n)) & 1).astype(np.float32)
+        fill = np.array([((table >> table.dtype.type(i)) & table.dtype.type(1)).mean() for i in range(n)])
+        self.wrong = fill**HASHES
+        #: Few languages: what every mask weighs, worked out once.
+        self.every = self.weights(np.arange(1 << n, dtype=table.dtype)) if n <= 10 else None
+
+    def weights(self, masks: np.ndarray) -> np.ndarray:
+        """What n-grams of these masks weigh for each language, corrected for false positives; those of no language, or of too many, nothing."""
+        kind = self.table.dtype.type
+        bits = np.stack([(masks >> kind(i)) & kind(1) for i in range(len(self.languages))], 1).astype(np.float32)
         c = bits.sum(1)
-        weight = np.where(((c > 0) & (c <= COMMON))[:, None], bits / np.maximum(c, 1)[:, None], 0)
-        self.weight = ((weight - wrong) / (1 - wrong)).astype(np.float32)
-        self.weight[c > COMMON] = 0
-        self.weight[0] = 0
+        out = ((bits / np.maximum(c, 1)[:, None] - self.wrong) / (1 - self.wrong)).astype(np.float32)
+        out[(c == 0) | (c > COMMON)] = 0
+        return out
 
     def evidence(self, folded: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
         """Evidence of every word for every language."""
@@ -149,10 +159,14 @@ class Detector:
         a, b, c = slots_of(g)
         masks = self.table[a] & self.table[b] & self.table[c]
         per = np.zeros((len(s), len(self.languages)), np.float32)
-        told = np.flatnonzero(self.weight.any(1)[masks])  # n-grams of no language, or of too many, tell nothing
+        weight = self.every
+        if weight is None:
+            values, masks = np.unique(masks, return_inverse=True)
+            weight = self.weights(values)
+        told = np.flatnonzero(weight.any(1)[masks])
         masks, word = masks[told], word[told]
         for i in range(len(self.languages)):
-            per[:, i] = np.bincount(word, self.weight[masks, i], len(s))
+            per[:, i] = np.bincount(word, weight[masks, i], len(s))
         return per[back]
 
     def segments(self, texts: pa.Array) -> dict[str, np.ndarray]:
