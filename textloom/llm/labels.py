@@ -48,8 +48,8 @@ class Reader:
         p = m.group()
         if p.isascii():
             return p
-        good, strength = self.repairer.sequences(p)
-        return good if strength > 1 else self.repairer.wholly(p)
+        edits, strength = self.repairer.sequences(p)
+        return mojibake.applied(p, edits if strength > 1 else self.repairer.wholly(p))
 
     def languages(self, texts: pa.Array) -> dict[str, np.ndarray]:
         """Segments of the texts of one slice (row, lang, begin, words, confidence) and each text's main language."""

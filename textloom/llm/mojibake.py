@@ -5,21 +5,23 @@ computed once (``patterns``): UTF-8 read as a single-byte encoding (once or
 twice) gives sequences that correct text does not hold; one single-byte
 encoding read as another gives single characters that correct text may hold.
 
-An Aho-Corasick automaton over all of them finds what a blank-delimited piece of
-text contains.  Looked at are texts with a character outside the plain alphabets
-and texts with a word that another encoding of its script (koi8-r and cp1251 read
-as each other) makes far more frequent.  Sequences decide by themselves; for single characters the pair is
-taken whose restored words are far more frequent in the corpus than the piece as
-it stands (``token_counts``, over all texts), so that correct accents, capitals
-and typographic marks stay.  Matched spans are replaced, the rest of the text is
-left alone.  Pieces with replacement characters, or question marks inside words,
-have lost characters: they are reported, not restored.
+An Aho-Corasick automaton over all of them gives the matched spans of every
+blank-delimited piece of text, and only matched spans are replaced.  Looked at
+are texts with a character outside the plain alphabets and texts with a word that
+another encoding of its script (koi8-r and cp1251 read as each other) makes far
+more frequent.  Sequences decide by themselves; a span of single characters says
+which pairs can have made it, and that pair is taken whose restored words are far
+more frequent in the corpus than the piece as it stands (``token_counts``, over
+all texts), so that correct accents, capitals and typographic marks stay.  Pieces
+with replacement characters, or question marks inside words, have lost
+characters: they are reported, not restored.
 
 Defined results: null and empty texts are not garbled and stay what they are.
 """
 
 from __future__ import annotations
 
+import functools
 import re
 
 import numpy as np
@@ -74,6 +76,7 @@ def _read(data: bytes, encoding: str) -> str:
         return "".join(bytes([b]).decode(encoding, "ignore") or chr(b) for b in data)
 
 
+@functools.cache
 def patterns() -> tuple[dict[str, tuple[str, int]], dict[tuple[str, str], dict[int, str]]]:
     """Garbled sequence -> (character, strength), and for each single-byte pair garbled character -> character.
 
@@ -172,6 +175,56 @@ def token_counts(texts: DataFrame, columns: list[str]) -> np.ndarray:
     return counts
 
 
+#: A replacement in a text: begin, end, what stands there instead.
+Edit = tuple[int, int, str]
+
+
+def applied(text: str, edits: list[Edit]) -> str:
+    """The text with the spans of *edits* replaced."""
+    out, pos = [], 0
+    for a, b, good in sorted(edits):
+        out += [text[pos:a], good]
+        pos = b
+    return "".join(out) + text[pos:]
+
+
+@functools.cache
+def _automata():
+    """Automaton of all patterns, automaton of the certain ones, suspicious code points and same-script pairs; once a worker.
+
+    A sequence carries its size, character and strength; a single character
+    carries, with strength 0, what it stands for under each pair.
+    """
+    import ahocorasick
+
+    many, single = patterns()
+    every, certain = ahocorasick.Automaton(), ahocorasick.Automaton()
+    for bad, (good, strength) in many.items():
+        every.add_word(bad, (len(bad), good, strength))
+        if strength > 1:
+            certain.add_word(bad, True)
+    certain.make_automaton()
+    stands_for: dict[str, dict[tuple[str, str], str]] = {}
+    for pair, table in single.items():
+        for cp, good in table.items():
+            stands_for.setdefault(chr(cp), {})[pair] = good
+    for ch, by_pair in stands_for.items():
+        if not every.exists(ch):
+            every.add_word(ch, (1, by_pair, 0))
+    every.make_automaton()
+    odd = np.array([bool(re.match(f"[^\\x00-\\x7f{_PLAIN}]", chr(c))) for c in range(0x10000)])
+    # Pairs that make plain letters of others of their script, as lower-case code points by code point.
+    swaps: list[np.ndarray] = []
+    low, kinds = _kinds()
+    for table in single.values():
+        inside = {c: ord(g) for c, g in table.items() if not odd[c] and c >= 0x370 and kinds[c] == LETTER and c >> 8 == ord(g) >> 8 and kinds[ord(g)] == LETTER}
+        if len(inside) > 20:
+            swap = low.copy()
+            swap[list(inside)] = low[list(inside.values())]
+            swaps.append(swap)
+    return every, certain, odd, swaps
+
+
 class Repairer:
     """Decides and restores; remembers its decisions on pieces, which repeat a lot."""
 
@@ -179,37 +232,12 @@ class Repairer:
     KEEP = 200_000
 
     def __init__(self, counts: np.ndarray) -> None:
-        import ahocorasick
-
         self.counts = counts
         #: A word more frequent than this cannot be MORE times rarer than any other.
         self.common = int(counts.max(initial=0)) // (MORE // 4)
-        self.many, self.single = patterns()
-        self.automaton = ahocorasick.Automaton()
-        for bad, (good, strength) in self.many.items():
-            self.automaton.add_word(bad, (len(bad), good, strength))
-        self.certain = ahocorasick.Automaton()
-        for bad, (_, strength) in self.many.items():
-            if strength > 1:
-                self.certain.add_word(bad, True)
-        self.certain.make_automaton()
-        for table in self.single.values():
-            for cp in table:
-                if not self.automaton.exists(chr(cp)):
-                    self.automaton.add_word(chr(cp), (1, "", 0))
-        self.automaton.make_automaton()
-        self.known: dict[str, tuple[str, tuple | None, bool]] = {}
-        # Suspicious code points: what makes a text worth a closer look.
-        self.odd = np.array([bool(re.match(f"[^\\x00-\\x7f{_PLAIN}]", chr(c))) for c in range(0x10000)])
-        # Pairs that make plain letters of others of their script, as lower-case code points by code point.
-        self.swaps: list[np.ndarray] = []
-        low, kinds = _kinds()
-        for table in self.single.values():
-            inside = {c: ord(g) for c, g in table.items() if not self.odd[c] and c >= 0x370 and kinds[c] == LETTER and c >> 8 == ord(g) >> 8 and kinds[ord(g)] == LETTER}
-            if len(inside) > 20:
-                swap = low.copy()
-                swap[list(inside)] = low[list(inside.values())]
-                self.swaps.append(swap)
+        self.single = patterns()[1]
+        self.automaton, self.certain, self.odd, self.swaps = _automata()
+        self.known: dict[str, tuple[list[Edit], str, tuple | None, bool]] = {}
 
     def frequency(self, tokens: list[str]) -> np.ndarray:
         if not tokens:
@@ -249,51 +277,54 @@ class Repairer:
         """Whether the text holds a sequence that only wrong decoding makes."""
         return next(self.certain.iter(text), None) is not None
 
-    def sequences(self, piece: str) -> tuple[str, int]:
-        """The piece with its garbled sequences replaced, longest first from the left, and the strongest match."""
+    def sequences(self, piece: str) -> tuple[list[Edit], int]:
+        """The garbled sequences of a piece, longest first from the left, and the strongest match."""
         found: dict[int, tuple[int, str, int]] = {}
         for end, (size, good, strength) in self.automaton.iter(piece):
             at = end - size + 1
             if strength and (at not in found or size > found[at][0]):
                 found[at] = (size, good, strength)
-        if not found:
-            return piece, 0
-        out, pos, best, weak = [], 0, 0, 0
-        while pos < len(piece):
-            hit = found.get(pos)
-            if hit:
-                out.append(hit[1])
-                pos += hit[0]
-                best, weak = max(best, hit[2]), weak + (hit[2] == 1)
-            else:
-                out.append(piece[pos])
-                pos += 1
+        edits, pos, best, weak = [], 0, 0, 0
+        for at in sorted(found):
+            if at >= pos:
+                size, good, strength = found[at]
+                edits.append((at, at + size, good))
+                pos = at + size
+                best, weak = max(best, strength), weak + (strength == 1)
         if best == 1:  # letters only: three in one piece, and the piece must become words that are known
-            good = "".join(out)
-            before, after = self.frequency(_TOKEN.findall(piece.lower())), self.frequency(_TOKEN.findall(good.lower()))
+            before, after = self.frequency(_TOKEN.findall(piece.lower())), self.frequency(_TOKEN.findall(applied(piece, edits).lower()))
             best = 2 if weak >= 2 and len(after) and after.min() >= MORE * (1 + before.min(initial=10**9)) else 1
-        return ("".join(out) if best > 1 else piece), best
+        return (edits if best > 1 else []), best
 
-    def characters(self, piece: str, pair: tuple[str, str] | None = None) -> tuple[str, tuple[str, str] | None]:
-        """The piece read back by the single-byte pair that makes its words far more frequent; with *pair*, by that one if plausible."""
+    def characters(self, piece: str, pair: tuple[str, str] | None = None) -> tuple[list[Edit], tuple[str, str] | None]:
+        """The spans that the single-byte pair makes which restores far more frequent words; with *pair*, by that one if plausible."""
         words = _WORD.findall(piece.lower())
         bad = [w for w in words if not w.isascii()]
         if not bad and not any(self.odd[ord(c)] for c in piece if 127 < ord(c) < 0x10000):
-            return piece, None
+            return [], None
         if not words:
-            return piece, None
+            return [], None
         now = int(self.frequency(bad).max()) if bad else int(self.frequency(words).min())
         if now > self.common:
-            return piece, None
-        odd = {ord(c) for c in piece if ord(c) > 127}
-        must = {c for c in odd if self.odd[min(c, 0xFFFF)]}
-        options: list[tuple[str, tuple[str, str], list[str], bool]] = []
-        for key, table in self.single.items() if pair is None else [(pair, self.single[pair])]:
-            if odd.isdisjoint(table) or not must <= table.keys():
+            return [], None
+        spans = {end: by_pair for end, (_, by_pair, strength) in self.automaton.iter(piece) if not strength}
+        for i, c in enumerate(piece):  # a sequence of one character may stand for others too
+            if i not in spans and ord(c) > 127 and (own := self.single_of(c)):
+                spans[i] = own
+        must = {i for i, c in enumerate(piece) if ord(c) > 127 and self.odd[min(ord(c), 0xFFFF)]}
+        options: list[tuple[list[Edit], str, tuple[str, str], list[str], bool]] = []
+        if not must <= spans.keys():
+            return [], None
+        able = set().union(*spans.values()) if pair is None else {pair}
+        for key in [k for k in self.single if k in able]:
+            if not all(key in spans[i] for i in must):
                 continue
-            good = piece.translate(table)
+            edits = [(i, i + 1, by[key]) for i, by in spans.items() if key in by]
+            if not edits:
+                continue
+            good = applied(piece, edits)
             parts = _WORD.findall(good.lower())
-            marks = [c for c, b in zip(good, piece) if c != b and not c.isalpha()]
+            marks = [g for _, _, g in edits if not g.isalpha()]
             if not all(c in _MARKS for c in marks) or not _plausible(good):
                 continue
             if parts and sum(map(len, parts)) < sum(map(len, words)) - 2:
@@ -301,34 +332,39 @@ class Repairer:
             if not parts and (len(words) > 1 or len(words[0]) > 1 or good.strip(".,;:!?") not in ("—", "–")):
                 continue
             named = bool(_FOREIGN.search(good)) and bool(_ODD_RUN.search(piece))
-            options.append((good, key, parts, named))
+            options.append((edits, good, key, parts, named))
         if not options:
-            return piece, None
-        counts = iter(self.frequency([t for o in options for t in o[2]]).tolist())
+            return [], None
+        counts = iter(self.frequency([t for o in options for t in o[3]]).tolist())
         best, choice = 0.0, None
-        for good, key, parts, named in options:
+        for edits, good, key, parts, named in options:
             own = [next(counts) for _ in parts]
             low = min([n for n, t in zip(own, parts) if t not in _SHORT], default=MORE * (now + 1) if not parts else 0)
             if named and pair is not None and low < 2 and now < 2:
                 low = 2  # a name beside words already read back
             score = (low + 1) / (now + 1)
             if score > best:
-                best, choice = score, (good, key)
-        need = 1.5 if pair is not None else MORE / 4 if "’" in choice[0] else MORE
-        return choice if best >= need else (piece, None)
+                best, choice = score, (edits, good, key)
+        need = 1.5 if pair is not None else MORE / 4 if "’" in choice[1] else MORE
+        return (choice[0], choice[2]) if best >= need else ([], None)
+
+    def single_of(self, ch: str) -> dict[tuple[str, str], str]:
+        """What a character stands for under each single-byte pair."""
+        return {pair: table[ord(ch)] for pair, table in self.single.items() if ord(ch) in table}
 
-    def piece(self, piece: str) -> tuple[str, tuple[str, str] | None, bool]:
-        """(restored, single-byte pair used, whether garbled)."""
+    def piece(self, piece: str) -> tuple[list[Edit], str, tuple[str, str] | None, bool]:
+        """(edits, restored, single-byte pair used, whether garbled)."""
         got = self.known.get(piece)
         if got is None:
             lost = bool(_LOST.search(piece)) and "://" not in piece
-            good, strength = self.sequences(piece)
+            edits, strength = self.sequences(piece)
             pair = None
             if strength < 2:
-                good, pair = self.characters(piece)
+                edits, pair = self.characters(piece)
             if piece == "Ã":  # its second character was a blank
-                good, strength = "à", 2
-            got = (good, pair, lost or good != piece)
+                edits = [(0, 1, "à")]
+            good = applied(piece, edits)
+            got = (edits, good, pair, lost or good != piece)
             if len(self.known) >= self.KEEP:
                 self.known.clear()
             self.known[piece] = got
@@ -336,7 +372,7 @@ class Repairer:
 
     def text(self, text: str) -> tuple[str, bool, bool]:
         """(restored text, whether garbled, whether characters are lost)."""
-        done: list[tuple[re.Match, str, tuple[str, str] | None]] = []
+        done: list[tuple[re.Match, list[Edit], str, tuple[str, str] | None]] = []
         left: list[re.Match] = []
         votes: dict[tuple[str, str], int] = {}
         lost = strong = False
@@ -344,7 +380,7 @@ class Repairer:
             p = m.group()
             if p.isascii() and "?" not in p:
                 continue
-            good, pair, bad = self.piece(p)
+            edits, good, pair, bad = self.piece(p)
             if not bad:
                 if not p.isascii():
                     left.append(m)
@@ -353,45 +389,39 @@ class Repairer:
             strong |= pair is None and good != p
             if pair:
                 votes[pair] = votes.get(pair, 0) + 1
-            done.append((m, good, pair))
+            done.append((m, edits, good, pair))
         pair = max(votes, key=votes.get) if votes else None
         # Letters for letters of another script: one piece alone may be chance.
-        if pair and votes[pair] < 2 and any(x == pair and m.group().strip("".join(_MARKS) + ".,;:()").isalpha() and _FOREIGN_ANY.search(good) for m, good, x in done):
+        if pair and votes[pair] < 2 and any(x == pair and m.group().strip("".join(_MARKS) + ".,;:()").isalpha() and _FOREIGN_ANY.search(good) for m, _, good, x in done):
             pair = None
-        others = [d[0] for d in done if not (d[2] is None or d[2] == pair or not _FOREIGN_ANY.search(d[1]))]
+        others = [d[0] for d in done if not (d[3] is None or d[3] == pair or not _FOREIGN_ANY.search(d[2]))]
         done = [d for d in done if d[0] not in others]
         left += others if pair else []
         garbled = lost or bool(done)
-        edits = [(m.start(), m.end(), good) for m, good, _ in done if good != m.group()]
+        found = [(m.start(), edits) for m, edits, _, _ in done]
         # What could not be decided alone is read back as the text around it was.
         for m in left if pair or strong else ():
-            good, used = self.characters(m.group(), pair) if pair else (m.group(), None)
+            edits, used = self.characters(m.group(), pair) if pair else ([], None)
             if not used and strong:
-                good = self.wholly(m.group())
-            if good != m.group():
-                edits.append((m.start(), m.end(), good))
-        if not edits:
-            return text, garbled, lost
-        out, pos = [], 0
-        for a, b, good in sorted(edits):
-            out += [text[pos:a], good]
-            pos = b
-        return "".join(out) + text[pos:], garbled, lost
-
-    def wholly(self, piece: str) -> str:
-        """The piece with weak sequences replaced too, if these make up all of it but ASCII."""
+                edits = self.wholly(m.group())
+            found.append((m.start(), edits))
+        return applied(text, [(at + a, at + b, good) for at, edits in found for a, b, good in edits]), garbled, lost
+
+    def wholly(self, piece: str) -> list[Edit]:
+        """Weak sequences of a piece too, if these make up all of it but ASCII."""
         found: dict[int, tuple[int, str]] = {}
         for end, (size, good, strength) in self.automaton.iter(piece):
             if strength and size > found.get(end - size + 1, (0,))[0]:
                 found[end - size + 1] = (size, good)
-        out, pos = [], 0
+        edits, pos = [], 0
         while pos < len(piece):
             size, good = found.get(pos, (1, piece[pos]))
             if size == 1 and not piece[pos].isascii():
-                return piece
-            out.append(good)
+                return []
+            if pos in found:
+                edits.append((pos, pos + size, good))
             pos += size
-        return "".join(out)
+        return edits
 
     def column(self, texts: pa.Array) -> tuple[pa.Array, np.ndarray, np.ndarray]:
         """Restored texts, garbled flags and lost flags; texts without suspicious characters are not touched."""
