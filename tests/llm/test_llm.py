@@ -148,6 +148,17 @@ def test_document_names(spark, raw, want):
     assert spark.createDataFrame([(raw,)], "d string").select(splits.document_name(F.col("d"))).first()[0] == want
 
 
+def test_stored_weights_never_fall(spark, tmp_path):
+    store = sample.WeightStore(spark, f"file://{tmp_path}/weights")
+    store.observe(spark.range(3000).select("id", F.lit(0.5).alias("weight")))
+    before = {r.id for r in sample.poisson_sample(store.weights(), 0.2).collect()}
+    again = sample.WeightStore(spark, store.path)
+    again.observe(spark.range(2000, 5000).select("id", F.lit(0.2).alias("weight")))
+    again.observe(spark.createDataFrame([(None, 1.0), (1, None)], "id long, weight double"))
+    after = {r.id for r in sample.poisson_sample(again.weights(), 0.2).collect()}
+    assert before <= after and {r.weight for r in again.weights().filter("id < 3000").collect()} == {0.5}
+
+
 def test_sample_is_stable(spark):
     a = spark.range(5000).select("id", F.lit(0.5).alias("weight"))
     more = a.unionByName(spark.range(4000, 9000).select("id", F.lit(0.9).alias("weight"))).unionByName(spark.createDataFrame([(None, 1.0), (1, None), (2, -3.0)], "id long, weight double"))
@@ -258,6 +269,13 @@ def test_leaked_passages_are_found(spark):
     got = leakage.leaked(spark.createDataFrame(docs, "d long, t string"), spark.createDataFrame([*((i, " ".join(w).upper()) for i, w in enumerate(items)), (77, None), (78, "")], "i long, t string"), "d", "t", "i", "t")
     found = {tuple(r) for r in got.collect()}
     assert {x for x in want if x not in found} == set() and {x for x in found if x not in want} == set()
+    for n in range(1, 96):  # wherever the windows fall and the missing words are, some window keeps what is counted on
+        held, most = leakage.surely_kept(n)
+        for _ in range(40):
+            at, gone = rng.randrange(8), rng.randrange(n - n // 8 + 1)
+            miss = set(rng.sample(range(n), n // 8)) if rng.random() < 0.5 else set(range(gone, gone + n // 8))
+            spans = [[i not in miss for i in range(max(0, b), min(n, b + 24))] for b in range(at - 24, n, 8)]
+            assert any(sum(x) >= held + most and sum(a and b for a, b in zip(x, x[1:])) >= held + 2 * most - 1 for x in spans), n
     assert leakage.common_subsequence([1, 2, 3, 9, 5], [1, 2, 3, 4, 5]) == 4 and leakage.common_run([9, 1, 2, 3], [0, 1, 2, 3]) == 3
     assert leakage.leaked(spark.createDataFrame(docs, "d long, t string"), spark.createDataFrame([], "i long, t string"), "d", "t", "i", "t").count() == 0
 

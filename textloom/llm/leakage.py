@@ -43,6 +43,8 @@ PAIR_PLACES = 1 << 22
 BUCKETS = 1 << 18
 #: Dimensions of the latent space, oversampling and power iterations of the SVD.
 RANK, EXTRA, POWERS = 256, 32, 2
+#: Windows of items that a task multiplies, and terms whose sums travel together.
+WINDOWS_A_TASK, TERM_BLOCK = 400, 1024
 #: Least cosine of a candidate in the latent space.
 COSINE = 0.4
 #: Share of an item's words that count as its answers, and how many of them a whole match must hold.
@@ -114,12 +116,13 @@ def latent_basis(spark, items: Items) -> np.ndarray:
     """Terms x RANK: right singular vectors of the items' TF-IDF windows, by randomised SVD.
 
     A pass multiplies the windows' matrix by a thin one and its transpose back;
-    the windows are rows of a table, each task sums its part, tasks are added up.
+    the windows are rows of a table, each task sums its part, and the parts are
+    added up on the executors, TERM_BLOCK terms at a time.
     """
     n_terms = len(items.vocabulary)
     k = min(RANK + EXTRA, n_terms, max(len(items.begin), 1))
     table = pa.table({"terms": [items.term[a:b] for a, b in zip(items.begin, items.end)]}, pa.schema([("terms", pa.list_(pa.int64()))]))
-    rows = spark.createDataFrame(table).repartition(max(1, len(items.begin) // 2000))
+    rows = spark.createDataFrame(table).repartition(max(1, len(items.begin) // WINDOWS_A_TASK))
     weight = spark.sparkContext.broadcast(items.weight)
 
     def both_ways(thin: np.ndarray) -> np.ndarray:
@@ -135,12 +138,19 @@ def latent_basis(spark, items: Items) -> np.ndarray:
                 value = (value / np.repeat(norm, np.diff(offs))).astype(np.float32)
                 y = rows_times(value, terms, offs[:-1], offs[1:], shared.value)
                 np.add.at(total, terms, np.repeat(y, np.diff(offs), axis=0) * value[:, None])
-            yield pa.RecordBatch.from_arrays([pa.array([total.tobytes()], pa.binary())], ["part"])
+            for lo in range(0, len(total), TERM_BLOCK):
+                if total[lo : lo + TERM_BLOCK].any():
+                    yield pa.RecordBatch.from_arrays([pa.array([lo], pa.int32()), pa.array([total[lo : lo + TERM_BLOCK].tobytes()], pa.binary())], ["at", "part"])
 
-        parts = rows.mapInArrow(run, "part binary").toLocalIterator()
+        def added(parts: pa.Table) -> pa.Table:  # one part a task
+            total = sum(np.frombuffer(x.as_py(), np.float64) for x in parts.column(1))
+            return pa.table({"at": pa.array([parts.column(0)[0].as_py()], pa.int32()), "part": pa.array([total.tobytes()], pa.binary())})
+
+        sums = rows.mapInArrow(run, "at int, part binary").groupBy("at").applyInArrow(added, "at int, part binary").toArrow()
         got = np.zeros_like(thin, np.float64)
-        for p in parts:
-            got += np.frombuffer(p[0], np.float64).reshape(thin.shape)
+        for at, part in zip(sums.column(0).to_pylist(), sums.column(1)):
+            block = np.frombuffer(part.as_buffer(), np.float64).reshape(-1, thin.shape[1])
+            got[at : at + len(block)] = block
         return got
 
     thin = np.random.default_rng(7).standard_normal((n_terms, k)).astype(np.float32)
@@ -182,6 +192,23 @@ def common_subsequence(doc: list[int], item: list[int]) -> int:
     return len(item) - row.bit_count()
 
 
+def surely_kept(n: int) -> tuple[int, int]:
+    """Of a whole item of n words in a document, with one word in LOOSE missing, wherever its windows fall: the most
+    words of the item that some window spans, less than which none needs to span, and minus the words missing there.
+    """
+    missing = n // LOOSE
+    best = (WINDOW + n, 0)
+    for offset in range(STEP):  # words between the start of the item and the next window
+        spans = [min(n, begin + WINDOW) - max(0, begin) for begin in range(offset - WINDOW // STEP * STEP, n, STEP) if begin + WINDOW > 0]
+        whole = sum(x == min(n, WINDOW) for x in spans)
+        held = max(spans)
+        # Missing words fall on disjoint windows in turn, and each on WINDOW / STEP overlapping ones at most.
+        disjoint = max(1, (n - offset) // WINDOW)
+        most = min(missing, missing // disjoint if n - offset >= WINDOW else missing, WINDOW // STEP * missing // max(whole, 1))
+        best = min(best, (held, -most), key=lambda x: x[0] + 2 * x[1])
+    return best
+
+
 def _pair_places(left: np.ndarray, right: np.ndarray) -> np.ndarray:
     """Places of word pairs in the table of those that items hold."""
     return (tb.mix(left.view(np.uint64) * np.uint64(1_000_003) + right.view(np.uint64)) & np.uint64(PAIR_PLACES - 1)).astype(np.int64)
@@ -196,19 +223,19 @@ class Matcher:
         self.latent = _unit(latent).T.copy()
         self.lists = [items.words[a:b].tolist() for a, b in zip(items.first[:-1], items.first[1:])]
         n = np.diff(items.first)
-        #: Words that a whole item needs; of those, some window of the document keeps all but one in LOOSE.
-        self.need = n - n // LOOSE
-        whole = np.minimum(WINDOW - WINDOW // LOOSE, self.need)
+        kept = {int(k): surely_kept(int(k)) for k in np.unique(n[n > 0])}
+        #: Words of an item that some window of a document holding the item has at least.
+        self.need = np.array([min(RUN, sum(kept[int(k)])) if k else 0 for k in n])
         # Every word that is missing breaks two pairs.
-        self.least = int((2 * whole - np.minimum(WINDOW, n) - 1)[n > 0].min(initial=WINDOW))
+        self.least = min([a + 2 * b - 1 for a, b in kept.values()], default=WINDOW)
         self.pairs = np.zeros(PAIR_PLACES, bool)
         inner = np.ones(max(len(items.words) - 1, 0), bool)
         border = items.first[1:-1] - 1
         inner[border[(border >= 0) & (border < len(inner))]] = False
         self.pairs[_pair_places(items.words[:-1], items.words[1:])[inner]] = True
-        self.has = np.zeros((len(items.begin), len(items.vocabulary)), bool)
         row, k = _per_row(items.end - items.begin)
-        self.has[row, items.term[items.begin[row] + k]] = True
+        #: Window and term of every word of the items' windows, ascending.
+        self.has = np.unique(row * len(items.vocabulary) + items.term[items.begin[row] + k])
         self.answers = [items.answers(i) if b > a else set() for i, (a, b) in enumerate(zip(items.first[:-1], items.first[1:]))]
 
     def promising(self, words: np.ndarray, first: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -247,8 +274,10 @@ class Matcher:
             i, j = np.nonzero(q @ self.latent >= COSINE)
             # Of the document's window at least as many words must be the item window's.
             r, k = _per_row(at[i + 1] - at[i])
-            shared = np.bincount(r, self.has[j[r], term[at[i][r] + k]], minlength=len(i)) if len(i) else np.zeros(0)
-            ok = shared >= np.minimum(RUN, self.need[items.of[j]])
+            asked = j[r] * len(items.vocabulary) + term[at[i][r] + k]
+            place = np.minimum(np.searchsorted(self.has, asked), max(len(self.has) - 1, 0))
+            shared = np.bincount(r, self.has[place] == asked, minlength=len(i)) if len(i) else np.zeros(0)
+            ok = shared >= self.need[items.of[j]]
             i, j = i[ok], j[ok]
             texts.append(of[lo + i])
             starts.append(b[i] - (items.begin[j] - items.first[items.of[j]]))

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from . import bpe, defects, history, labels, langid, leakage, mojibake, overlap, sample, splits, topics
-from ..storage import small_enough
+from ..storage import fresh_path, small_enough
 
 
 def table(spark: SparkSession, sf: str, name: str) -> DataFrame:
@@ -35,9 +35,11 @@ def p1_found(spark: SparkSession, sf: str) -> DataFrame:
 
 
 def _documents_of_samples(spark: SparkSession, sf: str) -> DataFrame:
-    rows = table(spark, sf, "corpus_rows").select("sample_id", "source_id", splits.document_name(F.col("document_id")).alias("doc_key")).distinct()
-    key = F.when(F.col("doc_key").isNotNull(), F.concat_ws("/", F.col("source_id").cast("string"), "doc_key"))
-    return splits.components(rows, "sample_id", [key])
+    piece = F.lower(F.trim("document_id")).alias("piece")
+    rows = table(spark, sf, "corpus_rows").select("sample_id", "source_id", splits.document_name(F.col("document_id")).alias("doc_key"), piece).distinct()
+    of = lambda name, mark: F.when(F.col("doc_key").isNotNull(), F.concat(F.lit(mark), F.concat_ws("/", F.col("source_id").cast("string"), name)))
+    # The document, and the piece of it as it is written: two names of one entity.
+    return splits.components(rows, "sample_id", [of("doc_key", ""), of("piece", "piece ")]).drop("piece").distinct()
 
 
 def p2_found(spark: SparkSession, sf: str) -> DataFrame:
@@ -61,7 +63,10 @@ def p4_sample(spark: SparkSession, sf: str) -> DataFrame:
     """A sample of samples.id weighted by quality (0.5 where unknown), of which reviews may raise the weight."""
     first = table(spark, sf, "samples").select("id", F.coalesce("quality", F.lit(0.5)).alias("weight"))
     reviewed = table(spark, sf, "annotations").join(first.select("id"), F.col("sample_id") == first["id"], "left_semi").select(F.col("sample_id").alias("id"), F.col("quality").alias("weight"))
-    return sample.poisson_sample(sample.running_weights(first.unionByName(reviewed)), P4_RATE).select(F.col("id").alias("sample_id"), "weight")
+    store = sample.WeightStore(spark, fresh_path(spark, "p4-weights"))
+    store.observe(first)
+    store.observe(reviewed)
+    return sample.poisson_sample(store.weights(), P4_RATE).select(F.col("id").alias("sample_id"), "weight")
 
 
 def p5_found(spark: SparkSession, sf: str) -> DataFrame:

@@ -12,7 +12,7 @@ as 0, one above 1 / rate selects always; repeated rows count once.
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, functions as F
+from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
 from ..hashing import FINE_DIGITS, portable_hash, sql_hash
 
@@ -25,6 +25,26 @@ def running_weights(observed: DataFrame, stored: DataFrame | None = None) -> Dat
     return rows.filter("id is not null").groupBy("id").agg(F.max("weight").alias("weight"))
 
 
+class WeightStore:
+    """Running-maximum weights kept at *path*, a table of (id, weight) that only grows.
+
+    ``observe`` adds what a batch says of its ids and nothing else is rewritten.
+    An id's weight is the largest row it has, so rows written twice, or by half
+    before a crash, do no harm.
+    """
+
+    def __init__(self, spark: SparkSession, path: str) -> None:
+        self.spark, self.path = spark, path
+
+    def observe(self, observed: DataFrame) -> None:
+        """Store the weights of *observed* (id, weight)."""
+        running_weights(observed).select(F.col("id").cast("long"), "weight").write.mode("append").parquet(self.path)
+
+    def weights(self) -> DataFrame:
+        """(id, weight): the largest weight that each id was ever given."""
+        return self.spark.read.schema("id long, weight double").parquet(self.path).groupBy("id").agg(F.max("weight").alias("weight"))
+
+
 def chosen(weight: Column, id_: Column, rate: float, seed: int) -> Column:
     """Whether the record is in the sample: integer hash against a scaled weight, exact in any engine."""
     return portable_hash(id_, str(seed), digits=FINE_DIGITS).cast("double") < weight * F.lit(rate * 16.0**FINE_DIGITS)

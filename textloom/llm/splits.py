@@ -7,8 +7,7 @@ component; components, not records, are assigned to splits.
 first itself and its neighbours), sends the whole cluster to the cluster's
 minimum and the minimum to all others, until nothing changes.  Clusters are
 rows, never collected lists, so that a giant component stays spread over tasks;
-records that share the same keys are one link.  Where every record has a single
-key, no links exist and the key is the component.
+records that share the same keys are one link.
 
 ``assign`` draws the split of a component by weighted rendezvous hashing: split s
 scores -w(s) / ln(u(component, s)), the highest score wins.  Proportions hold in
@@ -57,11 +56,12 @@ def hash_to_min(links: DataFrame) -> DataFrame:
 
 
 def components(records: DataFrame, id_col: str, keys: list[Column]) -> DataFrame:
-    """*records* with a string column component; *keys* are string columns, null where a record has none."""
+    """*records* with a string column component; *keys* are string columns, null where a record has none.
+
+    A record's first key stands for it; its other keys are links of the first.
+    """
     listed = records.withColumn("_keys", F.array_compact(F.array(*keys)))
     first, alone = F.get("_keys", F.lit(0)), F.concat(F.lit("record "), F.col(id_col).cast("string"))
-    if len(keys) < 2:
-        return listed.withColumn("component", F.coalesce(first, alone)).drop("_keys")
     links = listed.filter(F.size("_keys") > 1).select(first.alias("a"), F.explode(F.slice("_keys", 2, len(keys))).alias("b")).filter("a <> b").distinct()
     found = hash_to_min(links)
     joined = listed.withColumn("_key", F.coalesce(first, alone)).join(found.withColumnRenamed("node", "_key"), "_key", "left")

@@ -3,21 +3,22 @@
 * Texts are hashed into folded words once; every later pass reads these.
 * The vocabulary are the terms in at least ``LEAST_SHARE`` of the documents, so its
   size is bounded by the mean document length over that share.
-* Topics: one started for each subject from the terms that are over-represented
-  in hand-labelled documents (at most ``LABELLED`` of each subject, a documented
-  bound), one for each language that at least ``LEAST_LANGUAGE`` of the documents
-  are marked with, and one more from the whole corpus.  Variational EM over all
-  documents then moves them; the start of the subject topics stays as their
-  prior.  Each pass is a map with one vocabulary-sized sum per task.
+* Topics are polylingual: a topic has one term distribution for each language, over
+  the terms that belong to it, so that a subject weighs alike in all languages
+  whatever their shares of the corpus.  One topic is started for each subject from
+  the terms that are over-represented in hand-labelled documents (at most
+  ``LABELLED`` of each subject, a documented bound), two for the rest of the
+  texts.  Variational EM over all documents then moves them; the start of the
+  subject topics stays as their prior.  Expected counts are added up on the
+  executors; the sums, topics x terms, reach the driver once a pass.
 * A fitted topic gets the subject that its top terms (by lift over the corpus)
   are labelled with; topics whose top terms agree on none are background.
-* A document's topic proportions are counted over mentions: neighbouring words of
-  one subject are one mention, so that terms of two words weigh as those of one.
-  Subjects with at least ``SHARE`` of the mentions are assigned.
+* A document gets the subjects that have at least ``SHARE`` of what its topic
+  proportions give to subjects at all.
 
-Defined results: null, empty and blank texts, and texts with fewer than
-``LEAST_MENTIONS`` mentions, have no subject; labels that are null, unknown or
-entered twice are cleaned (case, blanks) or ignored.
+Defined results: null, empty and blank texts, and texts with less than
+``LEAST_WORDS`` expected words on subjects, have no subject; labels that are null,
+unknown or entered twice are cleaned (case, blanks) or ignored.
 """
 
 from __future__ import annotations
@@ -42,8 +43,8 @@ SUPPORT = 4
 ALPHA, ETA = 0.1, 0.01
 #: Terms by which a topic is judged, and how many of them must speak for some subject.
 TOP_TERMS, LEAST_TERMS = 25, 4
-SHARE, LEAST_MENTIONS = 0.2, 2
-#: Least probability of a subject for a word to be a mention of it.
+SHARE, LEAST_WORDS = 0.2, 1.5
+#: Least probability of a word's subject for the word to be counted to it.
 SURE = 0.5
 
 
@@ -110,15 +111,32 @@ def vocabulary(words: DataFrame, labels: DataFrame, n_subjects: int, langs: list
     return terms[order], table[0], table[2 : 2 + n_subjects], table[2 + n_subjects :]
 
 
-def subject_seeds(n: np.ndarray, by_subject: np.ndarray) -> np.ndarray:
-    """Start of the subject topics (subjects x terms): the terms over-represented in their labelled documents."""
-    labelled = by_subject.sum(0)
-    rows = []
-    for own in by_subject:
-        rest = labelled - own
-        rate, other = (own + 0.05) / max(own.max(initial=0), 1), (rest + 0.05) / max(rest.max(initial=0), 1)
-        rows.append(n * np.maximum(np.log(rate / other), 0) ** 2 * (own >= 2) + ETA)
-    return np.stack(rows)
+def term_languages(by_language: np.ndarray) -> np.ndarray:
+    """The language that a term belongs to: where it is most frequent; one more group for terms of unmarked documents."""
+    if not len(by_language):
+        return np.zeros(by_language.shape[1], np.int64)
+    rate = by_language / np.maximum(by_language.sum(1, keepdims=True), 1)
+    return np.where(rate.max(0) > 0, rate.argmax(0), len(by_language))
+
+
+def _within(values: np.ndarray, group: np.ndarray, how) -> np.ndarray:
+    """For each topic and term the sum or maximum over the terms of its language."""
+    out = np.zeros((len(values), int(group.max(initial=0)) + 1))
+    for row, v in zip(out, values):
+        how.at(row, group, v)
+    return out[:, group]
+
+
+def subject_seeds(n: np.ndarray, by_subject: np.ndarray, group: np.ndarray) -> np.ndarray:
+    """Start of the subject topics (subjects x terms): the terms over-represented in their labelled documents, language by language.
+
+    Terms weigh by the labelled documents that hold them, scaled up to the corpus:
+    what is frequent in documents that nobody labels is no subject's.
+    """
+    rest = by_subject.sum(0) - by_subject
+    rate, other = ((x + 0.05) / np.maximum(_within(x, group, np.maximum), 1) for x in (by_subject, rest))
+    scale = n.sum() / max(by_subject.sum(), 1)
+    return np.minimum(by_subject * scale, n) * np.maximum(np.log(rate / other), 0) ** 2 * (by_subject >= 2) + ETA
 
 
 def clear_terms(by_subject: np.ndarray) -> np.ndarray:
@@ -126,10 +144,10 @@ def clear_terms(by_subject: np.ndarray) -> np.ndarray:
     return (by_subject.sum(0) >= SUPPORT) & (by_subject.max(0, initial=0) > 0.5 * by_subject.sum(0))
 
 
-def background_seeds(n: np.ndarray, by_subject: np.ndarray, by_language: np.ndarray) -> np.ndarray:
-    """Start of the other topics: each language, and the corpus with random changes; hardly any of the subjects' terms."""
+def background_seeds(n: np.ndarray, by_subject: np.ndarray) -> np.ndarray:
+    """Start of the other topics: the corpus, and the corpus with random changes; hardly any of the subjects' terms."""
     other = np.where(clear_terms(by_subject), 0.05, 1.0)
-    return np.concatenate([by_language, (0.2 * n * np.random.default_rng(11).uniform(0.5, 1.5, len(n)))[None]]) * other + ETA
+    return np.stack([n, 0.2 * n * np.random.default_rng(11).uniform(0.5, 1.5, len(n))]) * other + ETA
 
 
 def bags(words: DataFrame, terms: np.ndarray) -> DataFrame:
@@ -182,6 +200,8 @@ def em_pass(bag: DataFrame, beta: np.ndarray) -> np.ndarray:
     """Expected occurrences, topics x terms, over all documents."""
     shared = bag.sparkSession.sparkContext.broadcast(beta.astype(np.float32))
 
+    topics = [f"k{k}" for k in range(len(beta))]
+
     def run(batches):
         beta = shared.value
         total = np.zeros(beta.shape, np.float64)
@@ -191,22 +211,26 @@ def em_pass(bag: DataFrame, beta: np.ndarray) -> np.ndarray:
                 r = _posterior(t, doc, n, beta)
                 for k in range(len(beta)):
                     total[k] += np.bincount(t, r[:, k], beta.shape[1])
-        yield pa.RecordBatch.from_arrays([pa.array([total.astype(np.float32).tobytes()], pa.binary())], ["part"])
+        at = np.flatnonzero(total.any(0))
+        for lo in range(0, len(at), 20_000):
+            part = at[lo : lo + 20_000]
+            yield pa.RecordBatch.from_arrays([pa.array(part.astype(np.int32)), *(pa.array(x[part]) for x in total)], ["t", *topics])
 
+    sums = bag.select("t").mapInArrow(run, "t int, " + ", ".join(f"{k} double" for k in topics)).groupBy("t").agg(*[F.sum(k).alias(k) for k in topics]).toArrow()
     out = np.zeros(beta.shape)
-    for row in bag.select("t").mapInArrow(run, "part binary").toLocalIterator():
-        out += np.frombuffer(row[0], np.float32).reshape(beta.shape)
+    out[:, sums.column("t").to_numpy()] = [sums.column(k).to_numpy() for k in topics]
     return out
 
 
-def _beta(counts: np.ndarray) -> np.ndarray:
+def _beta(counts: np.ndarray, group: np.ndarray) -> np.ndarray:
+    """Term distributions of the topics, one for each language."""
     counts = counts + ETA
-    return counts / counts.sum(1, keepdims=True)
+    return counts / _within(counts, group, np.add)
 
 
-def topic_subjects(beta: np.ndarray, n: np.ndarray, by_subject: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+def topic_subjects(beta: np.ndarray, n: np.ndarray, by_subject: np.ndarray, group: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """Subject of each topic (-1: background) by its top terms, and those terms (topics x TOP_TERMS)."""
-    usual = (n + 1) / (n + 1).sum()
+    usual = _beta((n + 1)[None], group)[0]
     score = beta * np.log(np.maximum(beta / usual, 1e-9))
     top = np.argsort(-score, axis=1, kind="stable")[:, :TOP_TERMS]
     says, clear = by_subject.argmax(0), clear_terms(by_subject)
@@ -222,10 +246,10 @@ def topic_subjects(beta: np.ndarray, n: np.ndarray, by_subject: np.ndarray) -> t
 class Model:
     """A fitted model: vocabulary, topics and their subjects."""
 
-    def __init__(self, terms: np.ndarray, n: np.ndarray, by_subject: np.ndarray, counts: np.ndarray, subjects: list[str]) -> None:
+    def __init__(self, terms: np.ndarray, n: np.ndarray, by_subject: np.ndarray, counts: np.ndarray, group: np.ndarray, subjects: list[str]) -> None:
         self.terms, self.subjects = terms, subjects
-        self.beta = _beta(counts)
-        self.subject_of, self.top = topic_subjects(self.beta, n, by_subject)
+        self.beta = _beta(counts, group)
+        self.subject_of, self.top = topic_subjects(self.beta, n, by_subject, group)
 
 
 def fit(documents: DataFrame, labels: DataFrame, subjects: list[str], id_col: str, text_col: str, lang_col: str, label_id: str, label_col: str) -> tuple[Model, DataFrame]:
@@ -233,31 +257,17 @@ def fit(documents: DataFrame, labels: DataFrame, subjects: list[str], id_col: st
     words = cut(hashed(documents, id_col, text_col, lang_col), "p10-words")
     terms, n, by_subject, by_language = vocabulary(words, clean_labels(labels, label_id, label_col, subjects), len(subjects), languages(words))
     bag = cut(bags(words, terms), "p10-bags")
-    start = subject_seeds(n, by_subject)
-    counts = np.concatenate([start, background_seeds(n, by_subject, by_language)])
+    group = term_languages(by_language)
+    start = subject_seeds(n, by_subject, group)
+    counts = np.concatenate([start, background_seeds(n, by_subject)])
     for _ in range(PASSES if len(terms) else 0):
-        counts = em_pass(bag, _beta(counts))
+        counts = em_pass(bag, _beta(counts, group))
         counts[: len(subjects)] += PRIOR * start
-    return Model(terms, n, by_subject, counts, subjects), bag
-
-
-def mentions(t: np.ndarray, doc: np.ndarray, r: np.ndarray, n_docs: int, subject_of: np.ndarray, n_subjects: int) -> np.ndarray:
-    """Mentions of each subject in each document: words surely of it, neighbours counted once."""
-    per = np.zeros((len(t), n_subjects), np.float32)
-    for k, s in enumerate(subject_of):
-        if s >= 0:
-            per[:, s] += r[:, k]
-    if not len(t):
-        return np.zeros((n_docs, n_subjects))
-    own = np.where((t >= 0) & (per.max(1) >= SURE), per.argmax(1), -1)
-    new = np.ones(len(own), bool)
-    new[1:] = (own[1:] != own[:-1]) | (doc[1:] != doc[:-1])
-    at = np.flatnonzero(new & (own >= 0))
-    return np.bincount(doc[at] * n_subjects + own[at], minlength=n_docs * n_subjects).reshape(n_docs, n_subjects)
+    return Model(terms, n, by_subject, counts, group, subjects), bag
 
 
 def proportions(model: Model, bag: DataFrame) -> DataFrame:
-    """(id, subject, share, mentions) of each document's subjects, by mentions."""
+    """(id, subject, share, words): of what a document's topic proportions give to subjects, the share of each, and the expected words on subjects."""
     shared = bag.sparkSession.sparkContext.broadcast((model.beta.astype(np.float32), model.subject_of))
     names = model.subjects
 
@@ -265,18 +275,23 @@ def proportions(model: Model, bag: DataFrame) -> DataFrame:
         beta, subject_of = shared.value
         for b in batches:
             for a, n, t, doc in _tokens(b.column(1)):
-                r = np.zeros((len(t), len(beta)), np.float32)
-                known = t >= 0
-                r[known] = _posterior(t[known], doc[known], n, beta)
-                m = mentions(t, doc, r, n, subject_of, len(names))
+                t, doc = t[t >= 0], doc[t >= 0]
+                r = _posterior(t, doc, n, beta)
+                of = np.zeros((len(t), len(names)), np.float32)
+                for k, s in enumerate(subject_of):
+                    if s >= 0:
+                        of[:, s] += r[:, k]
+                own = of.argmax(1) if len(t) else np.zeros(0, np.int64)
+                sure = np.flatnonzero(of[np.arange(len(t)), own] >= SURE)
+                m = np.bincount(doc[sure] * len(names) + own[sure], minlength=n * len(names)).reshape(n, len(names))
                 row, s = np.nonzero(m)
-                share = m[row, s] / np.maximum(m.sum(1)[row], 1)
-                cols = [b.column(0).slice(a, n).take(pa.array(row)), pa.array(names).take(pa.array(s)), pa.array(share.astype(np.float64)), pa.array(m.sum(1)[row].astype(np.int32))]
-                yield pa.RecordBatch.from_arrays(cols, ["id", "subject", "share", "mentions"])
+                all_ = m.sum(1)[row]
+                cols = [b.column(0).slice(a, n).take(pa.array(row)), pa.array(names).take(pa.array(s)), pa.array(m[row, s] / all_), pa.array(all_.astype(np.float64))]
+                yield pa.RecordBatch.from_arrays(cols, ["id", "subject", "share", "words"])
 
-    return bag.mapInArrow(run, "id long, subject string, share double, mentions int")
+    return bag.mapInArrow(run, "id long, subject string, share double, words double")
 
 
 def assigned(shares: DataFrame) -> DataFrame:
     """(id, subject) of the subjects that a document is about."""
-    return shares.filter((F.col("share") >= SHARE) & (F.col("mentions") >= LEAST_MENTIONS)).select("id", "subject").distinct()
+    return shares.filter((F.col("share") >= SHARE) & (F.col("words") >= LEAST_WORDS)).select("id", "subject").distinct()
