@@ -80,7 +80,25 @@ def test_budget_and_documents():
     chosen, cost = S.choose_documents([("big", "x", 5), ("a", "x", 3), ("b", "x", 3)], {"big": 8051, "a": 40, "b": 40}, 1000)
     assert sorted(chosen) == ["a", "b"] and cost == 80
     assert S.choose_documents([("a", "x", 1), ("absent", "x", 1)], {"a": 40}, None)[1] == 41
-    assert S.proportional({"p": 10, "q": 10}, 1000) == {"p": 10, "q": 10} and sum(S.flattened({"a": 900, "b": 30, "c": 5}, 100).values()) == 100
+    alone = [(f"sample:{i}", "x", 1) for i in range(50)]
+    assert len(S.choose_documents(alone, {}, 10, 5)[0]) == 50
+    many = [(f"d{d}{i:02}", d, 1.0, 10 if d == "x" else 1) for d in "xy" for i in range(30)]
+    got = S.choose_documents(many, {k: 2 for k, *_ in many}, 60, 20)[0]
+    assert len(got) == 20 and S.domain_slots({"x": 300, "y": 30}, {"x": 30, "y": 30}, 20) == {"x": 18, "y": 2} and sum(k.startswith("dy") for k in got) == 2
+    assert PL.merged_reports({"a": {"budget_rows": 500, "corpus_rows": 5, "estimated_rows": 400, "documents_held": 3, "documents_available": 9, "applied": True}, "b": {"budget_rows": None, "corpus_rows": 5, "estimated_rows": 4, "documents_held": 3, "documents_available": 3, "applied": False}})["budget_rows"] is None
+
+
+def test_quotas_are_rounded_and_shared():
+    assert S.proportional({"p": 10, "q": 10}, 1000) == {"p": 10, "q": 10} and S.proportional({"a": 5, "b": 5, "c": 5}, 10) == {"a": 4, "b": 3, "c": 3}
+    assert S.proportional({"a": 1, "b": 3}, 2) == {"a": 0, "b": 2} and S.proportional({}, 5) == {} and S.proportional({"a": 4}, 0) == {"a": 0}
+    assert S.flattened({"a": 900, "b": 100}, 100, 0.5, 0) == {"a": 70, "b": 30} and sum(S.flattened({"a": 900, "b": 30, "c": 5}, 100).values()) == 100
+    labels = ["len_0_15", "len_15_40", "len_40_80", "len_80_999999"]
+    assert S.by_share({"len_0_15": 100, "len_15_40": 100, "len_40_80": 3, "len_80_999999": 0}, labels, [0.2, 0.35, 0.3, 0.15], 20) == {"len_0_15": 7, "len_15_40": 10, "len_40_80": 3, "len_80_999999": 0}
+    cells = {("en-de", d, b): n for d, n in (("law", 400), ("sport", 100)) for b in labels}
+    q = S.cell_quotas(cells, 100)
+    assert sum(q.values()) == 100 and sum(v for (_, d, _), v in q.items() if d == "sport") == 43
+    own = policy.validated({"pairs": {"en-de": {"quotas": {"domain_floor": 0, "domain_alpha": 0.0}}}})
+    assert sum(v for (_, d, _), v in S.cell_quotas(cells, 100, own).items() if d == "sport") == 20
 
 
 def test_document_key(spark):
@@ -131,6 +149,12 @@ def test_minhash_links_lose_no_pair(spark, monkeypatch):
     assert got == near | same and len(near) > 20
 
 
+def test_digest_is_of_ranges(spark):
+    df = spark.range(5000).select((F.col("id") % 2).alias("g"), F.col("id").alias("sample_id"))
+    a, b = (sorted(map(tuple, D.id_digest(df.repartition(n), ["g"], span=700).collect())) for n in (1, 9))
+    assert a == b and [x[2] for x in a] == [2500, 2500] and a[0][1] != a[1][1]
+
+
 def test_embedding_links_and_k_center(spark):
     v = spark.createDataFrame([(1, [1.0, 0.0], "c"), (2, [0.999, 0.01], "c"), (3, [0.0, 1.0], "c"), (4, [0.0, 0.0], "c"), (5, None, "c")], "id long, v array<double>, cell string")
     assert {(r.a, r.b) for r in S.embedding_links(v, "id", "v", 0.95, tables=8, bits=4).collect()} == {(1, 2)}
@@ -148,13 +172,19 @@ def test_loops_and_ratios(spark):
 
 
 def test_flags(spark):
-    rows = [("en", "ru", "5 kg of CPUs", "5 кг"), ("fa", "en", "سلام", "nothing"), ("fr", "xx", "CPU 5 kg", ""), ("en", "fa", "word سلام", "x^2")]
+    rows = [("en", "ru", "5 kg of CPUs", "5 кг"), ("fa", "en", "سلام", "5 kg CPU"), ("de", "xx", "CPU 5 kg", ""), ("en", "fa", "word سلام", "x^2"), ("ru", "en", "весит 3 кг, США", "x"), ("fr", "es", "p < 0.05 and x = 2", None), ("en", "de", None, None)]
     got = S.features(spark.createDataFrame([(i, 1, None, *r, "x") for i, r in enumerate(rows)], "sample_id long, source_id int, document_id string, src_lang string, tgt_lang string, source_text string, target_text string, domain string")).orderBy("sample_id").collect()
-    assert [r.has_numbers_units for r in got] == [True, False, False, False]
-    assert [r.has_acronyms for r in got] == [True, False, False, False]
-    assert [r.has_mixed_script for r in got] == [False, False, False, True]
-    assert got[3].has_math and not got[0].has_math
-    assert L.supported_features("en", "fa") >= {"has_mixed_script", "has_acronyms"} and L.supported_features("fr", "es") == {"has_math", "is_rare_term"}
+    assert [r.has_numbers_units for r in got] == [True, False, False, False, True, True, False]
+    assert [r.has_acronyms for r in got] == [True, False, False, False, True, False, False]
+    assert [r.has_mixed_script for r in got] == [False, False, False, True, False, False, False]
+    assert [r.has_math for r in got] == [False, False, False, False, False, True, False] and {r.length_bucket for r in got} == {"len_0_15"}
+    assert L.supported_features("en", "fa") >= {"has_mixed_script", "has_acronyms"} and L.supported_features("fr", "es") == L.supported_features("de", "en") == {"has_math", "is_rare_term"}
+
+
+def test_arabic_letters_that_differ_stay_apart(spark):
+    df = spark.createDataFrame([("كتابي ٣", "fa"), ("کتابی ۳", "ar"), ("آب", "fa"), ("اب", "fa"), ("أب", "fa"), ("مؤمن", "ar"), ("مومن", "ar")], "t string, l string")
+    k = [r[0] for r in df.select(L.language_key(F.col("t"), F.col("l"))).collect()]
+    assert k[0] == k[1] and k[2] != k[3] == k[4] and k[5] != k[6]
 
 
 def test_allocation_permanence(spark):
@@ -179,7 +209,15 @@ def test_reservation(spark):
     rows = [(i, i % 3, "en", "de", "law" if i % 2 else None, f"d{i % 20}:c{i}", f"text number {i} about {'x^2' if i % 25 == 0 else 'things'} and {i * 7} more words here", f"Text {i} mit {i * 7} Worten") for i in range(200)]
     rows += [(200, 0, "en", "de", None, None, rows[5][6], rows[5][7]), (201, 9, "en", "de", None, "", "something else", rows[7][7].upper()), (202, 9, "en", "de", None, "", None, None)]
     df = spark.createDataFrame(rows, "sample_id long, source_id int, src_lang string, tgt_lang string, domain string, document_id string, source_text string, target_text string")
-    run = PL.reserve(df, df.filter("sample_id < 200"), {"selection": {"share_percent": 10.0, "gold_size": 6}}, flag_targets={"has_math": 3})
+    given = {"selection": {"share_percent": 10.0, "gold_size": 6}, "documents": {"budget_share": None}}
+    run = PL.reserve(df, df.filter("sample_id < 200"), given, flag_targets={"has_math": 3})
+    held = PL.reserve(df, df.filter("sample_id < 200"), given | {"documents": {"budget_share": None, "budget_rows": 30}})
+    assert held.report["holdout"]["estimated_rows"] <= 30 and held.report["holdout"]["applied"] and 0 < held.report["selected"] <= 20
+    assert sum(n for r, n in held.report["quarantined"].items() if r == "held_document") <= 30
+    from textloom.functions.embedding import embedded
+
+    far = PL.reserve(df, df.filter("sample_id < 200"), given | {"selection": {"share_percent": 10.0, "diversity": "kcenter"}}, embedded(df.filter("sample_id < 200"), "sample_id", "source_text"))
+    assert far.report["selected"] == 20
     members = {r.sample_id: r for r in run.members.collect()}
     assert len(members) == run.report["selected"] == 20 and set(run.report["splits"]) == {"dev", "test"} and run.report["features"]["has_math"] >= 3
     reasons = {r.sample_id: r.reason for r in run.quarantined.collect()}
@@ -236,6 +274,8 @@ def test_readers(spark, tmp_path):
     assert "column_4" in readers.read_delimited_lenient(spark, str(tmp_path / "a.csv")).columns
     (tmp_path / "b.json").write_text('{"data": [{"s": 1}, {"s": 2}]}')
     assert readers.read_any(spark, str(tmp_path / "b.json")).count() == 2
+    (tmp_path / "e.json").write_text('{"n": 1, "second": [{"s": 1}], "also": [{"s": 2}, {"s": 3}]}')
+    assert [r.s for r in readers.read_any(spark, str(tmp_path / "e.json")).collect()] == [1]
     (tmp_path / "c.tmx").write_text('<tmx><body><tu><tuv xml:lang="EN"><seg>Hi <b>you</b></seg></tuv><tuv xml:lang="de"><seg>Hallo</seg></tuv></tu></body></tmx>')
     assert [r.asDict() for r in readers.read_any(spark, str(tmp_path / "c.tmx")).collect()] == [{"de": "Hallo", "en": "Hi you"}]
     import zipfile

@@ -17,19 +17,20 @@ TOKEN = r"[\p{L}\p{N}_]+"
 STRIP = r"(?U)^\s+|\s+$"
 
 # Digits and letters of Arabic script that are written in several ways, and marks that are left out.
-ARABIC_FROM, ARABIC_TO = "٠١٢٣٤٥٦٧٨٩۰۱۲۳۴۵۶۷۸۹يىكةۀأإآٱؤئ", "01234567890123456789ییکههاااا" + "وی"
+ARABIC_FROM, ARABIC_TO = "٠١٢٣٤٥٦٧٨٩۰۱۲۳۴۵۶۷۸۹يكةۀأإ", "01234567890123456789یکههاا"
 ARABIC_MARKS = "[\u064b-\u0652\u0670\u0640\u200c\u200d\u200e\u200f]"
-# Script of each language that content flags know.
-SCRIPTS = {"en": "Latin", "de": "Latin", "ru": "Cyrillic", "fa": "Arabic", "ar": "Arabic"}
-SCRIPT_RANGE = {"Latin": r"\p{IsLatin}", "Cyrillic": r"\p{IsCyrillic}", "Arabic": r"\p{IsArabic}"}
+# Script of each language that content flags know, and its characters.
+SCRIPTS = {"en": "Latin", "ru": "Cyrillic", "fa": "Arabic", "ar": "Arabic"}
+SCRIPT_RANGE = {"Latin": "[A-Za-zÀ-ɏ]", "Cyrillic": "[Ѐ-ӿ]", "Arabic": "[؀-ۿݐ-ݿﭐ-\ufdffﹰ-\ufeff]"}
 # Units that make a number a quantity, by language.
-UNITS = {
-    "en": "kg|g|mg|km|cm|mm|m|s|ms|h|hz|khz|mhz|ghz|kb|mb|gb|tb|w|kw|v|a|k|°c|%|percent|dollars?|euros?",
-    "de": "kg|g|mg|km|cm|mm|m|s|ms|std|hz|khz|mhz|ghz|kb|mb|gb|tb|w|kw|v|a|°c|%|prozent|euro",
-    "ru": "кг|г|мг|км|см|мм|м|с|ч|гц|кгц|мгц|ггц|вт|квт|в|%|процентов|рублей",
-    "fa": "کیلوگرم|گرم|کیلومتر|متر|سانتی‌متر|ثانیه|ساعت|درصد|٪|%",
-    "ar": "كيلوغرام|غرام|كيلومتر|متر|سنتيمتر|ثانية|ساعة|بالمئة|٪|%",
-}
+LATIN_UNITS = "%|mm|cm|km|kg|mg|g|ml|l|s|ms|hz|khz|mhz|ghz|k|°c|°f|kpa|mpa|mol|ppm|db|nm|µm|um|ev|kev|mev|gev|w|kw|mw|v|mv|a|ma"
+CYRILLIC_UNITS = "%|мм|см|км|м|кг|мг|г|мл|л|мс|с|мин|ч|тыс|млн|млрд|°с|гц|кгц|мгц|ггц|вт|квт|мвт|в|мв|а|ма|моль"
+PERSIAN_UNITS = "%|درصد|میلیمتر|سانتیمتر|کیلومتر|متر|کیلوگرم|میلیگرم|گرم|میلیلیتر|لیتر|ثانیه|دقیقه|ساعت|هرتز|ولت|وات|مول"
+UNITS = {"en": LATIN_UNITS, "ru": CYRILLIC_UNITS, "fa": PERSIAN_UNITS, "ar": PERSIAN_UNITS}
+# Acronyms, where the script has case; mathematics and statistics.
+ACRONYM = {"en": r"\b[A-Z]{2,6}s?\b", "ru": r"\b[А-ЯЁ]{2,6}\b|\b[A-Z]{2,6}s?\b"}
+MATH = r"(\$[^$]+\$|\\\(|\\\[|\\frac|\\sum|\\int|\\alpha|\\beta|\\gamma|\\lambda|\\sigma|[=<>≤≥±∓×÷√∞∈∉⊂⊆∪∩∑∏∫∂∇Δ∆]|\b[a-zA-Z]\s*\^\s*[0-9n]|\b[xyz]\s*=)"
+STATISTICS = r"\b[pP]\s*[<>=]\s*0?\.\d+|\bn\s*=\s*\d+|\bCI\b|\br\s*=\s*[-0.]|\bF\(\d"
 
 
 def strip(c: Column) -> Column:
@@ -91,8 +92,8 @@ def shingles(words: Column, n: int = 3) -> Column:
     return let(words, body)
 
 
-def length_bucket(n: Column, edges: tuple[int, ...] = (0, 50, 120, 300, 1000)) -> Column:
-    """Label of the half-open bucket; from the last edge on the last label."""
+def length_bucket(n: Column, edges: tuple[int, ...] = (0, 15, 40, 80, 999_999)) -> Column:
+    """Label of the half-open bucket of a number of words; from the last edge on the last label."""
     out = None
     for lo, hi in zip(edges[:-1], edges[1:]):
         cond = (n >= lo) & (n < hi)
@@ -108,21 +109,23 @@ def document_key(document_id: Column, sample_id: Column, namespace: Column | Non
 
 
 def has_math(c: Column) -> Column:
-    return c.rlike(r"\\(frac|sum|int|sqrt|alpha|beta|begin)|\$[^$]+\$|[∑∫√≤≥≠±×÷∂∞]|[A-Za-z0-9)]\s*\^\s*[0-9A-Za-z({]|[A-Za-z]\s*=\s*[0-9A-Za-z(]")
+    return F.coalesce(c.rlike("(?U)" + MATH), F.lit(False))
 
 
 def has_numbers_units(c: Column, lang: Column) -> Column:
     """A number with a unit of the language, or statistical notation."""
-    stat = c.rlike(r"(?i)\bp\s*[<=>]\s*0?\.\d+|\bn\s*=\s*\d+")
-    out = F.lit(False)
-    for tag, units in UNITS.items():
-        out = F.when(lang == tag, c.rlike(rf"(?iU)\d\s*(?:{units})(?!\p{{L}})")).otherwise(out)
-    return out | stat
+    units = F.lit(False)
+    for tag, names in UNITS.items():
+        units = F.when(lang == tag, c.rlike(rf"(?iU)\b\d+(\.\d+)?\s*({names})\b")).otherwise(units)
+    return F.coalesce(units | c.rlike("(?U)" + STATISTICS), F.lit(False))
 
 
 def has_acronyms(c: Column, lang: Column) -> Column:
-    """Two to six capitals, with a plural s at most; only where the script has case."""
-    return lang.isin(*[k for k, v in SCRIPTS.items() if v != "Arabic"]) & c.rlike(r"(?U)\b\p{Lu}{2,6}s?\b")
+    """Two to six capitals; only in languages whose script has case."""
+    out = F.lit(False)
+    for tag, pattern in ACRONYM.items():
+        out = F.when(lang == tag, c.rlike("(?U)" + pattern)).otherwise(out)
+    return F.coalesce(out, F.lit(False))
 
 
 def has_mixed_script(source: Column, target: Column, src: Column, tgt: Column) -> Column:
@@ -132,15 +135,15 @@ def has_mixed_script(source: Column, target: Column, src: Column, tgt: Column) -
         for b, sb in SCRIPTS.items():
             if sa != sb:
                 out = F.when((src == a) & (tgt == b), source.rlike(SCRIPT_RANGE[sb]) | target.rlike(SCRIPT_RANGE[sa])).otherwise(out)
-    return out
+    return F.coalesce(out, F.lit(False))
 
 
 def supported_features(src: str, tgt: str) -> set[str]:
-    """Flags that a language pair can have."""
+    """Flags that a language pair can have; all but mixed script are the source's."""
     known = {"has_math", "is_rare_term"}
-    if src in UNITS or tgt in UNITS:
+    if src in UNITS:
         known.add("has_numbers_units")
-    if SCRIPTS.get(src, "Arabic") != "Arabic" or SCRIPTS.get(tgt, "Arabic") != "Arabic":
+    if src in ACRONYM:
         known.add("has_acronyms")
     if src in SCRIPTS and tgt in SCRIPTS and SCRIPTS[src] != SCRIPTS[tgt]:
         known.add("has_mixed_script")

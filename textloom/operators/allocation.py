@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame, functions as F
 
 from .ranking import first_by_hash
 from ..schema import IGNORED, QUARANTINED, RESERVED, TRAINABLE
+from ..storage import small_enough
 
 
 def restored(reserved_at: Column, quarantined_at: Column) -> Column:
@@ -107,7 +108,7 @@ def purge_blockers(members: DataFrame, samples: DataFrame, reservations: DataFra
     m = members.select("sample_id", "reservation_id")
     s = samples.select(F.col("id").alias("sample_id"), "batch_id")
     r = reservations.select(F.col("id").alias("reservation_id"), "dataset_id")
-    return m.join(s, "sample_id").join(F.broadcast(r), "reservation_id").select("batch_id", "reservation_id", "dataset_id").distinct()
+    return m.join(s, "sample_id").join(F.broadcast(r) if small_enough(r, 100_000) else r, "reservation_id").select("batch_id", "reservation_id", "dataset_id").distinct()
 
 
 def batch_annotations(annotations: DataFrame, samples: DataFrame) -> DataFrame:

@@ -7,13 +7,14 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, functions as F
 
 from ..functions import language as L
-from ..storage import small_enough
+from ..storage import cut, small_enough
 
 #: Reference rows up to this many are broadcast; beyond, joins shuffle.
 BROADCAST_ROWS = 500_000
 
 
 def _side(df: DataFrame) -> DataFrame:
+    """*df* to be broadcast if it is short and narrow (keys and hashes); texts are never broadcast."""
     return F.broadcast(df) if small_enough(df, BROADCAST_ROWS) else df
 
 
@@ -44,6 +45,7 @@ def scan(rows: DataFrame, reserved: DataFrame, scope: str = "pair", least: int |
     exact target (any group), exact source or held document (in the row's group), shingles of the source, else of
     the target, with one reserved row of the group (not at all if *least* is None).  Selected rows are skipped.
     """
+    reserved = cut(reserved.select("sample_id", "source_id", "src_lang", "tgt_lang", "document_id", "source_text", "target_text"), "scan-reserved")
     keyed = rows.join(_side(reserved.select("sample_id").distinct()), "sample_id", "left_anti").withColumn("_g", L.comparison_group(scope, F.col("src_lang"), F.col("tgt_lang")))
     keyed = keyed.withColumn("_doc", L.document_key(F.col("document_id"), F.col("sample_id"), F.col("source_id")))
     ref = reserved.withColumn("_g", L.comparison_group(scope, F.col("src_lang"), F.col("tgt_lang"))).withColumn("_doc", L.document_key(F.col("document_id"), F.col("sample_id"), F.col("source_id")))
@@ -60,6 +62,7 @@ def scan(rows: DataFrame, reserved: DataFrame, scope: str = "pair", least: int |
         c = f"{side}_text"
         posted = keyed.select("sample_id", "_g", F.explode(L.shingles(L.tokens(F.col(c)))).alias("s")).select("sample_id", F.xxhash64("_g", "s").alias("s"))
         refs = ref.select(F.col("sample_id").alias("ref"), "_g", F.explode(L.shingles(L.tokens(F.col(c)))).alias("s")).select("ref", F.xxhash64("_g", "s").alias("s")).distinct()
+        refs = cut(refs, "scan-shingles")
         hits = posted.join(_side(refs), "s").groupBy("sample_id", "ref").agg(F.count("*").alias("n")).filter(F.col("n") >= least)
         found = found.unionByName(hits.select("sample_id", F.lit(rank).alias("rank"), F.lit(f"shingles_{side}").alias("reason")))
     return found.groupBy("sample_id").agg(F.min_by("reason", "rank").alias("reason"))

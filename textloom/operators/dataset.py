@@ -174,10 +174,20 @@ def search(rows: DataFrame, registry: DataFrame, filters: Filters, allocation: s
     return preview(allocated(rows.filter(filters.condition()), registry, allocation), limit, offset)
 
 
-def id_digest(rows: DataFrame, group: list[str], id_col: str = "sample_id") -> DataFrame:
-    """SHA-256 over the comma-joined ids of each group, in order of the ids.
+#: Ids that are hashed together before the digests are.
+DIGEST_RANGE = 1 << 20
 
-    Meant for selections: a group's ids are brought together, so groups must be bounded by the caller.
+
+def id_digest(rows: DataFrame, group: list[str], id_col: str = "sample_id", span: int = DIGEST_RANGE) -> DataFrame:
+    """SHA-256 of each group's ids, and their number.
+
+    Ids fall into ranges of *span* values; a range's digest is that of its ids,
+    ascending and comma-joined, a group's that of its ranges' digests in order.  No
+    task holds more than *span* ids of a group.
     """
-    ordered = F.transform(F.array_sort(F.collect_list(id_col)), lambda x: x.cast("string"))
-    return rows.groupBy(*group).agg(F.sha2(F.array_join(ordered, ","), 256).alias("digest"), F.count("*").alias("n"))
+    def joined(c: str) -> Column:
+        return F.array_join(F.transform(F.array_sort(F.collect_list(c)), lambda x: x.cast("string")), ",")
+
+    ranges = rows.withColumn("_r", F.floor(F.col(id_col) / span)).groupBy(*group, "_r").agg(F.sha2(joined(id_col), 256).alias("_d"), F.count("*").alias("_n"))
+    placed = F.array_sort(F.collect_list(F.struct("_r", "_d")))  # one entry for each range
+    return ranges.groupBy(*group).agg(F.sha2(F.array_join(F.transform(placed, lambda x: x["_d"]), ","), 256).alias("digest"), F.sum("_n").alias("n"))

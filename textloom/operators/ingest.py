@@ -25,21 +25,21 @@ class Mapping:
     meta_columns: list[str] = field(default_factory=list)
 
 
-def normalize(raw: DataFrame, mapping: Mapping, batch_id: int, source_id: int, src_lang: str, tgt_lang: str, order: str | None = None) -> DataFrame:
+def normalize(raw: DataFrame, mapping: Mapping, batch_id: int, source_id: int, src_lang: str, tgt_lang: str, order: str | None = None, domain: str | None = None) -> DataFrame:
     """Canonical rows without ids: mapped columns or defaults, both texts stripped and non-empty, the rest packed as JSON."""
     missing = [c for c in (mapping.source_text, mapping.target_text) if c not in raw.columns]
     if missing:
         raise ValueError(f"missing text columns: {', '.join(missing)}")
 
     def pick(name: str | None, default: Column) -> Column:
-        return F.coalesce(F.nullif(strip(F.col(f"`{name}`").cast("string")), F.lit("")), default) if name and name in raw.columns else default
+        return F.col(f"`{name}`").cast("string") if name and name in raw.columns else default  # a mapped value stays what it is, null or blank too
 
-    extra = mapping.meta_columns or []
+    extra = [c for c in mapping.meta_columns if c in raw.columns]
     meta = F.to_json(F.struct(*[F.col(f"`{c}`") for c in extra]), {"ignoreNullFields": "false"}) if extra else F.lit(None).cast("string")
     out = raw.select(
         F.lit(batch_id).alias("batch_id"), F.lit(source_id).alias("source_id"),
         pick(mapping.src_lang, F.lit(src_lang)).alias("src_lang"), pick(mapping.tgt_lang, F.lit(tgt_lang)).alias("tgt_lang"),
-        pick(mapping.domain, F.lit(None).cast("string")).alias("domain"),
+        pick(mapping.domain, F.lit(domain).cast("string")).alias("domain"),
         (F.expr(f"try_cast(`{mapping.quality}` as double)") if mapping.quality in raw.columns else F.lit(None).cast("double")).alias("quality"),
         pick(mapping.document_id, F.lit(None).cast("string")).alias("document_id"),
         strip(F.col(f"`{mapping.source_text}`").cast("string")).alias("source_text"), strip(F.col(f"`{mapping.target_text}`").cast("string")).alias("target_text"),

@@ -15,7 +15,7 @@ LOOP_WORDS, LOOP_TIMES = 6, 3
 
 def length_ratio_over(source: Column, target: Column, limit: float) -> Column:
     """Texts of very different length; sources under 20 characters and empty targets are not judged."""
-    a, b = F.length(source), F.length(target)
+    a, b = F.length(L.strip(source)), F.length(L.strip(target))
     return F.coalesce((a >= 20) & (b > 0) & (F.greatest(F.try_divide(a, b), F.try_divide(b, a)) > limit), F.lit(False))
 
 
@@ -70,7 +70,7 @@ def loops(rows: DataFrame, id_col: str, text: Column) -> DataFrame:
 def rule_counts(rows: DataFrame, group: list[str]) -> DataFrame:
     """Hits of each rule by group, null where a rule judged no row."""
     src, tgt = F.col("source_text"), F.col("target_text")
-    ruled = rows.withColumn("untranslated_target", untranslated(tgt, L.language_tag(F.col("tgt_lang")))).withColumn("copy_of_source", copy_of_source(src, tgt, False))
+    ruled = rows.withColumn("untranslated_target", untranslated(tgt, L.language_tag(F.col("tgt_lang")))).withColumn("copy_of_source", copy_of_source(src, tgt))
     aggs = [F.count("*").alias("n"), F.sum(F.col("untranslated_target").cast("long")).alias("untranslated_target"), F.count_if("copy_of_source").alias("copy_of_source")]
     for x in RATIO_LIMITS:
         aggs.append(F.count_if(length_ratio_over(src, tgt, x)).alias(f"length_ratio_{str(x).replace('.', '_')}"))

@@ -16,6 +16,7 @@ from pyspark.sql import Column, DataFrame, Window, functions as F
 from .ranking import first_by_hash, keep_first
 from ..functions import language as L, postings as P
 from ..hashing import portable_hash
+from ..policy import DEFAULT, for_pair
 from ..storage import cut
 
 
@@ -57,17 +58,17 @@ def rare_thresholds(scores: DataFrame, q: float = 0.9) -> DataFrame:
     return at.filter(F.col("upto") > F.least(F.col("n") - 1, F.floor(F.col("n") * q))).groupBy("pair").agg(F.min("rare_term_score").alias("threshold"))
 
 
-def features(rows: DataFrame) -> DataFrame:
-    """Content flags, bucket, document and keys of each row."""
+def features(rows: DataFrame, edges: tuple[int, ...] = (0, 15, 40, 80, 999_999)) -> DataFrame:
+    """Content flags of the source, bucket by its words, document and keys of each row."""
     src, tgt = L.language_tag(F.col("src_lang")), L.language_tag(F.col("tgt_lang"))
     s, t = F.col("source_text"), F.col("target_text")
     return rows.withColumns(
         {
             "pair": L.pair_key(F.col("src_lang"), F.col("tgt_lang")),
-            "length_bucket": L.length_bucket(F.length(s)),
-            "has_math": L.has_math(s) | L.has_math(t),
-            "has_numbers_units": L.has_numbers_units(s, src) | L.has_numbers_units(t, tgt),
-            "has_acronyms": L.has_acronyms(s, src) | L.has_acronyms(t, tgt),
+            "length_bucket": L.length_bucket(F.coalesce(F.size(L.tokens(s)), F.lit(0)), edges),
+            "has_math": L.has_math(s),
+            "has_numbers_units": L.has_numbers_units(s, src),
+            "has_acronyms": L.has_acronyms(s, src),
             "has_mixed_script": L.has_mixed_script(s, t, src, tgt),
             "document": L.document_key(F.col("document_id"), F.col("sample_id"), F.col("source_id")),
         }
@@ -202,18 +203,22 @@ def _clip(c: Column) -> Column:
 
 
 def heuristic_score(seed: int = 42) -> Column:
-    """Weighted fit of length, words, ratio, letters, richness, ending and quality; 0 but for the jitter on markup or links."""
-    s, t = F.col("source_text"), F.col("target_text")
-    words = F.split(s, " ")
+    """Weighted fit of length, words, ratio, letters, richness, ending and quality of the stripped texts; 0 but for the jitter on links or markup in the source.
+
+    Fixed values: the weights and limits.
+    """
+    s, t = L.strip(F.coalesce("source_text", F.lit(""))), L.strip(F.coalesce("target_text", F.lit("")))
+    words, size = F.split(s, " "), F.greatest(F.length(s), F.lit(1))
     n_words = F.size(words)
     length = _clip(1 - F.abs(F.length(s) - 90) / 200)
     word = F.when((n_words >= 4) & (n_words <= 60), 1.0).otherwise(0.0)
-    ratio = F.when((F.length(s) > 0) & (F.length(t) > 0), _clip(1 - F.abs(F.log2(F.try_divide(F.length(t), F.length(s)))))).otherwise(0.0)
-    alpha = F.when(F.length(s) > 0, F.try_divide(F.regexp_count(s, F.lit(r"\p{L}")), F.length(s))).otherwise(0.0)
-    rich = F.try_divide(F.size(F.array_distinct(F.split(F.lower(s), " "))), n_words)
-    ended = F.when(s.rlike(r"[.!?؟。…]$"), 1.0).otherwise(0.0)
+    ratio = F.when(F.length(t) > 0, _clip(1 - F.abs(F.log2(F.length(t) / size)))).otherwise(0.0)
+    alpha = F.regexp_count(s, F.lit(r"\p{L}")) / size
+    rich = _clip(F.size(F.array_distinct(F.split(F.lower(s), " "))) / F.greatest(n_words, F.lit(1)))
+    ended = F.when(s.rlike(r"[.!?۔؟]$"), 1.0).otherwise(0.0)
     quality = _clip(F.coalesce("quality", F.lit(0.5)))
-    clean = F.when(s.rlike(r"(?i)https?://|www\.|[<>{}|\\]") | t.rlike(r"(?i)https?://|www\.|[<>{}|\\]"), 0.0).otherwise(1.0)
+    link = r"https?://|www\."
+    clean = F.when(s.rlike(link) | t.rlike(link) | s.rlike(r"[<>{}|\\]"), 0.0).otherwise(1.0)
     return (0.22 * length + 0.14 * word + 0.20 * ratio + 0.14 * alpha + 0.10 * rich + 0.08 * ended + 0.12 * quality) * clean + jitter(F.col("sample_id"), seed)
 
 
@@ -246,86 +251,115 @@ SELECTORS = {"heuristic": heuristic_select, "random": random_select}
 # -- quotas on the driver (over counts of cells) ---------------------------------
 
 
+def _settled(want: dict[str, int], have: dict[str, int], total: int, order: list[str]) -> dict[str, int]:
+    """*want* brought to *total* one by one in turns of *order*, within 0 and what there is."""
+    out, rest = dict(want), total - sum(want.values())
+    while rest:
+        step = 1 if rest > 0 else -1
+        can = [k for k in order if (out[k] < have[k] if step > 0 else out[k] > 0)][: abs(rest)]
+        if not can:
+            break
+        for k in can:
+            out[k] += step
+        rest -= step * len(can)
+    return out
+
+
+def _by_count(counts: dict[str, int]) -> list[str]:
+    return sorted(counts, key=lambda k: (-counts[k], k))
+
+
 def proportional(counts: dict[str, int], total: int) -> dict[str, int]:
-    """Targets in proportion to counts, capped by them; the remainder goes by (count descending, name)."""
+    """Targets in proportion to counts, rounded half to even and capped by them; the difference goes by (count descending, name)."""
     have = sum(counts.values())
-    total = min(total, have)
-    out = {k: min(v, total * v // have) if have else 0 for k, v in counts.items()}
-    rest = total - sum(out.values())
-    order = sorted(counts, key=lambda k: (-counts[k], k))
-    while rest > 0:
-        for k in order:
-            if rest and out[k] < counts[k]:
-                out[k] += 1
-                rest -= 1
-    return out
+    if not have or total <= 0:
+        return dict.fromkeys(counts, 0)
+    return _settled({k: min(v, round(v / have * total)) for k, v in counts.items()}, counts, total, _by_count(counts))
 
 
 def flattened(counts: dict[str, int], total: int, alpha: float = 0.5, floor: int = 50) -> dict[str, int]:
-    """Targets in proportion to counts ** alpha with a floor for each, capped by what there is."""
+    """Targets by a blend of proportional (1 - alpha) and even (alpha) shares, with a floor for each, capped by what there is."""
     if not counts:
         return {}
-    total = min(total, sum(counts.values()))
-    low = min(floor, total // len(counts))
-    out = {k: min(v, low) for k, v in counts.items()}
-    weight = {k: v**alpha for k, v in counts.items()}
-    while (rest := total - sum(out.values())) > 0:
-        open_ = [k for k in sorted(counts, key=lambda k: (-counts[k], k)) if out[k] < counts[k]]
-        scale = sum(weight[k] for k in open_)
-        before = sum(out.values())
-        for k in open_:
-            out[k] += min(counts[k] - out[k], int(rest * weight[k] / scale))
-        if sum(out.values()) == before:
-            for k in open_[:rest]:
-                out[k] += 1
-    return out
+    have, low = sum(counts.values()), min(floor, max(1, total // len(counts)))
+    share = {k: (1 - alpha) * v / have + alpha / len(counts) for k, v in counts.items()}
+    return _settled({k: min(v, max(low, round(share[k] * total))) for k, v in counts.items()}, counts, total, _by_count(counts))
+
 
+def by_share(counts: dict[str, int], labels: list[str], shares: list[float], total: int) -> dict[str, int]:
+    """Targets of length buckets by fixed shares, capped by what there is; what is left is dealt in turns."""
+    have = {k: counts.get(k, 0) for k in labels}
+    want = {k: min(have[k], round(total * x)) for k, x in zip(labels, shares, strict=True)}
+    return _settled(want, have, total, labels) if sum(want.values()) < total else want
 
-def cell_quotas(cells: dict[tuple[str, str, str], int], total: int) -> dict[tuple[str, str, str], int]:
-    """Quota of each (pair, domain, bucket): by pair in proportion, by domain flattened, by bucket in proportion."""
+
+def cell_quotas(cells: dict[tuple[str, str, str], int], total: int, policy: dict | None = None) -> dict[tuple[str, str, str], int]:
+    """Quota of each (pair, domain, bucket): by pair in proportion, by domain flattened, by bucket in fixed shares, each pair by its own policy."""
     out: dict[tuple[str, str, str], int] = {}
     pairs: dict[str, dict[str, dict[str, int]]] = {}
     for (p, d, b), n in cells.items():
         pairs.setdefault(p, {}).setdefault(d, {})[b] = n
     for p, t in proportional({p: sum(sum(b.values()) for b in d.values()) for p, d in pairs.items()}, total).items():
-        for d, t2 in flattened({d: sum(b.values()) for d, b in pairs[p].items()}, t).items():
-            for b, t3 in proportional(pairs[p][d], t2).items():
-                out[p, d, b] = t3
+        q = for_pair(policy or DEFAULT, p)["quotas"]
+        edges = q["length_edges"]
+        labels = [f"len_{a}_{b}" for a, b in zip(edges[:-1], edges[1:])]
+        for d, t2 in (flattened({d: sum(b.values()) for d, b in pairs[p].items()}, t, q["domain_alpha"], q["domain_floor"]) if t > 0 else {}).items():
+            out |= {(p, d, b): n for b, n in by_share(pairs[p][d], labels, q["bucket_shares"], t2).items() if n}
     return out
 
 
 def holdout_budget(corpus_rows: int | None, share: float | None, absolute: int | None) -> int | None:
     """Most rows that held-out documents may cost; None is unbounded."""
-    bounds = [absolute] if absolute is not None else []
-    if share is not None and corpus_rows is not None:
+    bounds = [int(absolute)] if absolute else []
+    if share and corpus_rows:
         bounds.append(int(corpus_rows * share))
     return min(bounds) if bounds else None
 
 
-def choose_documents(docs: list[tuple[str, str, float]], sizes: dict[str, int], budget: int | None, most: int | None = None) -> tuple[list[str], int]:
-    """Documents (key, domain, value) by value per row they cost, round-robin over domains, skipping what does not fit.
+def domain_slots(rows: dict[str, int], documents: dict[str, int], cap: int) -> dict[str, int]:
+    """Documents that each domain may hold: by its rows, one at least, *cap* in all as far as there are documents."""
+    total = sum(rows.values())
+    slots = {d: max(1, round(n / total * cap)) for d, n in rows.items()}
+    while sum(slots.values()) > cap:
+        slots[max(slots, key=lambda d: (slots[d], d))] -= 1
+    while sum(slots.values()) < cap:
+        d = max(documents, key=lambda d: (documents[d] - slots.get(d, 0), d))
+        if documents[d] <= slots.get(d, 0):
+            break
+        slots[d] = slots.get(d, 0) + 1
+    return slots
+
+
+def choose_documents(docs: list[tuple], sizes: dict[str, int], budget: int | None, most: int | None = None) -> tuple[list[str], int]:
+    """Documents (key, domain, value, rows) by value per row they cost, in turns over the domains within their slots, skipping what does not fit.
 
-    A document that the corpus does not know costs one row.  The cap on their number is left aside
-    where every document is a single row of its own.
+    A document that the corpus does not know costs one row.  Where every document
+    is a single row of its own, or all fit, all are chosen.  rows may be left out: 1.
     """
-    if most is not None and all(k.startswith("sample:") for k, _, _ in docs):
-        most = None
-    queues: dict[str, list[tuple[float, str]]] = {}
-    for key, domain, value in docs:
-        queues.setdefault(domain, []).append((-value / max(sizes.get(key, 1), 1), key))
-    for q in queues.values():
-        q.sort(reverse=True)
-    chosen, cost = [], 0
-    while any(queues.values()):
-        for domain in sorted(queues):
-            while queues[domain]:
-                _, key = queues[domain].pop()
-                c = sizes.get(key, 1)
-                if (budget is None or cost + c <= budget) and (most is None or len(chosen) < most):
-                    chosen.append(key)
-                    cost += c
-                    break
-    return chosen, cost
+    docs = [(*d, 1)[:4] for d in docs]
+    cost = {k: max(sizes.get(k, 1), 1) for k, *_ in docs}
+    everything = sum(cost.values())
+    if not docs or all(k.startswith("sample:") for k in cost) or ((not most or most >= len(docs)) and (budget is None or everything <= budget)):
+        return [k for k, *_ in docs], everything
+    rows: dict[str, int] = {}
+    ranked: dict[str, list[str]] = {}
+    for key, domain, value, n in sorted(docs, key=lambda d: (-d[2] / cost[d[0]], d[0])):
+        ranked.setdefault(domain, []).append(key)
+        rows[domain] = rows.get(domain, 0) + n
+    cap = most or len(docs)
+    slots = domain_slots(rows, {d: len(k) for d, k in ranked.items()}, cap)
+    queues = {d: iter(k) for d, k in sorted(ranked.items())}
+    chosen, spent = [], 0
+    while queues and len(chosen) < cap:
+        for domain in list(queues):
+            key = next((k for k in queues[domain] if budget is None or spent + cost[k] <= budget), None) if slots.get(domain, 0) > 0 and len(chosen) < cap else None
+            if key is None:
+                del queues[domain]
+                continue
+            chosen.append(key)
+            spent += cost[key]
+            slots[domain] -= 1
+    return chosen, spent
 
 
 def cells_of(rows: DataFrame) -> DataFrame:

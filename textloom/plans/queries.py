@@ -8,7 +8,8 @@ from ..functions import embedding as E, language as L
 from ..hashing import portable_hash, sql_hash
 from ..operators import allocation as A, contamination as C, dataset as D, evalset as V, ingest as I, pipeline as PL, quality as Q, selection as S
 from ..schema import RESERVED
-from ..storage import cut
+from ..sources import readers as R, writers as W
+from ..storage import cut, fresh_path
 
 QUERIES: dict = {}
 SQL: dict[str, str] = {}
@@ -50,9 +51,15 @@ def corpus(spark: SparkSession, sf: str) -> DataFrame:
 _META = f"(select distinct {', '.join(META)} from corpus_rows)"
 _ROWS = f"(select distinct {', '.join(META)}, source_text, target_text from corpus_rows)"
 _TAG = "coalesce(nullif(lower(regexp_extract(regexp_replace({}, '^\\s+|\\s+$', '', 'g'), '^[^-_]*')), ''), 'und')"
+#: Unicode white space, which the SQL engine's \\s lacks.
+_WS = "[\\s\\x{0b}\\x{85}\\x{a0}\\x{1680}\\x{2000}-\\x{200a}\\x{2028}\\x{2029}\\x{202f}\\x{205f}\\x{3000}]"
 _TOKENS = "regexp_extract_all(lower({}), '[\\p{{L}}\\p{{N}}_]+')"
 
 
+def _strip(text: str) -> str:
+    return f"regexp_replace({text}, '^{_WS}+|{_WS}+$', '', 'g')"
+
+
 def _h(expr: str, seed: str = "42") -> str:
     return sql_hash(f"{expr} || '-{seed}'")
 
@@ -182,10 +189,13 @@ def shingle_count(spark, sf):
     return corpus(spark, sf).select("sample_id", F.size(L.shingles(L.tokens(F.col("source_text")))).alias("n"))
 
 
-@query(f"""select case when l < 50 then 'len_0_50' when l < 120 then 'len_50_120' when l < 300 then 'len_120_300' else 'len_300_1000' end as length_bucket, count(*) as n
-  from (select length(source_text) as l from {_ROWS}) group by 1""")
+_BUCKET = "case when {0} < 15 then 'len_0_15' when {0} < 40 then 'len_15_40' when {0} < 80 then 'len_40_80' else 'len_80_999999' end"
+
+
+@query(f"""select {_BUCKET.format('l')} as length_bucket, count(*) as n from (select coalesce(len({_TOKENS.format('source_text')}), 0) as l from {_ROWS}) group by 1""")
 def length_bucket(spark, sf):
-    return corpus(spark, sf).groupBy(L.length_bucket(F.length("source_text")).alias("length_bucket")).agg(F.count("*").alias("n"))
+    words = F.coalesce(F.size(L.tokens(F.col("source_text"))), F.lit(0))
+    return corpus(spark, sf).groupBy(L.length_bucket(words).alias("length_bucket")).agg(F.count("*").alias("n"))
 
 
 _DOC = "case when document_id is null or document_id = '' then 'sample:' || sample_id else 'src' || coalesce(source_id::varchar, 'None') || ':' || split_part(document_id, ':', 1) end"
@@ -204,6 +214,31 @@ def feature_flags(spark, sf):
     return f.groupBy("pair").agg(*[F.count_if(c).alias(c) for c in ("has_math", "has_numbers_units", "has_acronyms", "has_mixed_script")], F.count("*").alias("n"))
 
 
+_UNITS = "\\b\\d+(\\.\\d+)?\\s*(" + L.UNITS["en"] + ")\\b"
+
+
+@query(f"""select sample_id, regexp_matches(source_text, '{L.MATH}') as has_math, regexp_matches(source_text, '(?i){_UNITS}') or regexp_matches(source_text, '{L.STATISTICS}') as has_numbers_units,
+  regexp_matches(source_text, '{L.ACRONYM["en"]}') as has_acronyms, {_TAG.format("tgt_lang")} in ('ru', 'fa', 'ar') and (
+    regexp_matches(source_text, case {_TAG.format("tgt_lang")} when 'ru' then '[\\x{{400}}-\\x{{4ff}}]' else '[\\x{{600}}-\\x{{6ff}}\\x{{750}}-\\x{{77f}}\\x{{fb50}}-\\x{{fdff}}\\x{{fe70}}-\\x{{feff}}]' end)
+    or regexp_matches(target_text, '[A-Za-z\\x{{c0}}-\\x{{24f}}]')) as has_mixed_script
+  from {_ROWS} where {_TAG.format("src_lang")} = 'en' and source_text is not null and target_text is not null""")
+def feature_flags_en(spark, sf):
+    """Content flags of the rows from English."""
+    rows = corpus(spark, sf).filter((L.language_tag(F.col("src_lang")) == "en") & F.col("source_text").isNotNull() & F.col("target_text").isNotNull())
+    return S.features(rows).select("sample_id", "has_math", "has_numbers_units", "has_acronyms", "has_mixed_script")
+
+
+_FOLDED = f"case when lang in ('fa', 'ar') then regexp_replace(translate(text, '{L.ARABIC_FROM}', '{L.ARABIC_TO}'), '[\\x{{64b}}-\\x{{652}}\\x{{670}}\\x{{640}}\\x{{200c}}-\\x{{200f}}]', '', 'g') when lang = 'ru' then translate(text, 'ёЁ', 'еЕ') else text end"
+
+
+@query(f"""with t as (select sample_id, {_TAG.format("src_lang")} as lang, source_text as text from {_ROWS} where source_text is not null)
+  select sample_id, md5(array_to_string({_TOKENS.format(_FOLDED)}, ' ')) as key from t""")
+def folded_keys(spark, sf):
+    """Keys of the sources with the spellings of their language made one."""
+    rows = corpus(spark, sf).filter("source_text is not null")
+    return rows.select("sample_id", F.md5(L.text_key(L.folded(F.col("source_text"), L.language_tag(F.col("src_lang")))).cast("binary")).alias("key"))
+
+
 _PAIRED = f"(select sample_id, {_TAG.format('src_lang')} || '-' || {_TAG.format('tgt_lang')} as pair, {_TOKENS.format('source_text')} as w from {_ROWS})"
 _SCORES = f"""with r as {_PAIRED}, e as (select sample_id, pair, unnest(w) as token from r), d as (select pair, token from (select distinct sample_id, pair, token from e) group by all having count(*) <= 2),
   h as (select sample_id, count(*) as c from e join d using (pair, token) group by 1), s as (select r.sample_id, r.pair, case when len(w) > 0 then coalesce(c, 0) / len(w) else 0.0 end as score from r left join h using (sample_id))"""
@@ -245,24 +280,40 @@ def dedup_minhash(spark, sf):
     return S.keep_unlinked(rows.select(F.col("sample_id").alias("id")), links).withColumnRenamed("id", "sample_id")
 
 
-@query()
+@query("""with w as {pairs}, s as (select sample_id, pair, list_sort(list_distinct(case when len(w) >= 5 then [array_to_string(w[i:i+4], ' ') for i in range(1, len(w) - 3)] when len(w) > 0 then [array_to_string(w, ' ')] else [] end)) as s from w),
+  c as (select min(sample_id) as rep, pair, s from s where len(s) > 0 group by pair, s), e as (select rep, pair, len(s) as n, unnest(s) as k from c),
+  p as (select x.rep as a, y.rep as b, count(*) as i, any_value(x.n) as nx, any_value(y.n) as ny from e x join e y on x.pair = y.pair and x.k = y.k and x.rep < y.rep group by 1, 2)
+  select a, b, round(i / (nx + ny - i), 6) as jaccard from p where i / (nx + ny - i) >= 0.8 union all select c.rep, s.sample_id, 1.0 from s join c using (pair, s) where s.sample_id <> c.rep""".format(pairs=f"(select sample_id, {_TAG.format('src_lang')} || '-' || {_TAG.format('tgt_lang')} as pair, {_TOKENS.format('source_text')} as w from {_ROWS})"))
 def minhash_links(spark, sf):
     """Near-duplicate links within pairs: every row to its class's first, and between classes."""
     rows = corpus(spark, sf).select("sample_id", "source_text", L.pair_key(F.col("src_lang"), F.col("tgt_lang")).alias("pair"))
-    return S.minhash_links(rows, "sample_id", F.col("source_text"), F.col("pair"), threshold=0.8, n=5)
+    return S.minhash_links(rows, "sample_id", F.col("source_text"), F.col("pair"), threshold=0.8, n=5).withColumn("jaccard", F.round("jaccard", 6))
 
 
-_RATIO = "count(*) filter (length(source_text) >= 20 and length(target_text) > 0 and greatest(length(source_text) / length(target_text), length(target_text) / length(source_text)) > {})"
+_RATIO = "count(*) filter (a >= 20 and b > 0 and greatest(a / b, b / a) > {})"
+_SIZES = f"(select *, length({_strip('source_text')}) as a, length({_strip('target_text')}) as b from {_ROWS})"
 _SQUEEZE = "lower(regexp_replace(regexp_replace({}, '^\\s+|\\s+$', '', 'g'), '\\s+', ' ', 'g'))"
 
 
 @query()
 def quality_rules(spark, sf):
-    """Rule hits by batch and pair."""
+    """Rule hits by batch and pair; equality of the sides is judged after NFKC, which SQL lacks."""
     return Q.rule_counts(corpus(spark, sf).withColumn("pair", L.pair_key(F.col("src_lang"), F.col("tgt_lang"))), ["batch_id", "pair"])
 
 
-@query(f"select batch_id, {_RATIO.format(2.5)} as over_2_5, {_RATIO.format(3.0)} as over_3, {_RATIO.format(4.0)} as over_4 from {_ROWS} group by 1")
+_LETTERS = "length(regexp_replace(coalesce(target_text, ''), '[^{}]', '', 'g'))"
+
+
+@query(f"""select batch_id, count(*) filter (l >= 8 and own < 0.2 * l and latin > 0.5 * l) as untranslated, count(*) as judged from (
+    select batch_id, {_LETTERS.format("\\p{L}")} as l, {_LETTERS.format("\\p{Latin}")} as latin, case {_TAG.format("tgt_lang")} when 'ru' then {_LETTERS.format("\\x{400}-\\x{4ff}")} else {_LETTERS.format("\\x{600}-\\x{6ff}\\x{750}-\\x{77f}\\x{fb50}-\\x{fdff}\\x{fe70}-\\x{feff}")} end as own
+    from {_ROWS} where {_TAG.format("tgt_lang")} in ('ru', 'fa', 'ar')) group by 1""")
+def untranslated_targets(spark, sf):
+    """Targets in Latin script where their language has another, by batch."""
+    hit = Q.untranslated(F.coalesce("target_text", F.lit("")), L.language_tag(F.col("tgt_lang")))
+    return corpus(spark, sf).withColumn("hit", hit).filter("hit is not null").groupBy("batch_id").agg(F.count_if("hit").alias("untranslated"), F.count("*").alias("judged"))
+
+
+@query(f"select batch_id, {_RATIO.format(2.5)} as over_2_5, {_RATIO.format(3.0)} as over_3, {_RATIO.format(4.0)} as over_4 from {_SIZES} group by 1")
 def length_ratio(spark, sf):
     s, t = F.col("source_text"), F.col("target_text")
     return corpus(spark, sf).groupBy("batch_id").agg(*[F.count_if(Q.length_ratio_over(s, t, x)).alias(n) for x, n in ((2.5, "over_2_5"), (3.0, "over_3"), (4.0, "over_4"))])
@@ -291,6 +342,17 @@ def duplicate_report(spark, sf):
     return Q.duplicate_report(corpus(spark, sf))
 
 
+@query(f"""with t as (select sample_id, {_strip("coalesce(source_text, '')")} as s, {_strip("coalesce(target_text, '')")} as t, quality from {_ROWS}),
+  w as (select *, string_split(s, ' ') as w, greatest(length(s), 1) as z from t)
+  select sample_id, round((0.22 * greatest(0, least(1, 1 - abs(length(s) - 90) / 200)) + 0.14 * (len(w) between 4 and 60)::int + 0.20 * case when length(t) > 0 then greatest(0, least(1, 1 - abs(log2(length(t) / z)))) else 0 end
+    + 0.14 * length(regexp_replace(s, '[^\\p{{L}}]', '', 'g')) / z + 0.10 * least(1, len(list_distinct(string_split(lower(s), ' '))) / greatest(len(w), 1)) + 0.08 * regexp_matches(s, '[.!?۔؟]$')::int
+    + 0.12 * greatest(0, least(1, coalesce(quality, 0.5)))) * case when regexp_matches(s, 'https?://|www\\.') or regexp_matches(t, 'https?://|www\\.') or regexp_matches(s, '[<>{{}}|\\\\]') then 0 else 1 end
+    + ({_h("sample_id")} % 1000000) / 1e9, 6) as score from w""")
+def heuristic_scores(spark, sf):
+    """Fitness of every row as an evaluation row."""
+    return corpus(spark, sf).select("sample_id", F.round(S.heuristic_score(), 6).alias("score"))
+
+
 @query()
 def heuristic_select(spark, sf):
     """The 200 best rows over strata; scores are compared as rounded integers, which the two engines round apart in a few rows."""
@@ -383,11 +445,13 @@ def kcenter(spark, sf):
     return S.k_center(table(spark, sf, "embeddings"), "vec_id", "embedding", "label", 5)
 
 
-@query("""select 'snapshot' as snapshot_id, count(*) as n, md5(string_agg(id::varchar, ',' order by id)) as digest from samples where reserved_at is not null and batch_id <= 12""")
+@query("""with s as (select id, row_number() over (order by id) as k, count(*) over () as n from samples where reserved_at is not null and batch_id <= 12)
+  select 'snapshot' as snapshot_id, max(n) as n, md5(string_agg(id::varchar, ',' order by id)) as digest from s where k <= 100""")
 def historical_contamination(spark, sf):
+    """How many rows of a snapshot are reserved now, and the first hundred of them: a report."""
     s = table(spark, sf, "samples")
     snap = s.filter("batch_id <= 12").select(F.lit("snapshot").alias("snapshot_id"), F.col("id").alias("sample_id"))
-    got = A.historical_overlap(snap, s.filter("reserved_at is not null").select(F.col("id").alias("sample_id")), 1_000_000)
+    got = A.historical_overlap(snap, s.filter("reserved_at is not null").select(F.col("id").alias("sample_id")), 100)
     return got.select("snapshot_id", "n", F.md5(F.array_join(F.col("ids").cast("array<string>"), ",").cast("binary")).alias("digest"))
 
 
@@ -456,9 +520,12 @@ def gold_subset(spark, sf):
     return S.gold(s, ["tgt_lang", "domain"])
 
 
-@query("select reservation_id, sha256(string_agg(sample_id::varchar, ',' order by sample_id)) as digest, count(*) as n from (select distinct reservation_id, sample_id from dataset_reservation_samples) group by 1")
+@query("""with m as (select distinct reservation_id, sample_id from dataset_reservation_samples),
+  r as (select reservation_id, sample_id // 1000 as r, sha256(string_agg(sample_id::varchar, ',' order by sample_id)) as d, count(*) as n from m group by 1, 2)
+  select reservation_id, sha256(string_agg(d, ',' order by r)) as digest, sum(n)::BIGINT as n from r group by 1""")
 def id_digest(spark, sf):
-    return D.id_digest(table(spark, sf, "dataset_reservation_samples").select("reservation_id", "sample_id").distinct(), ["reservation_id"])
+    """Digests of the members of each run, by ranges of a thousand ids."""
+    return D.id_digest(table(spark, sf, "dataset_reservation_samples").select("reservation_id", "sample_id").distinct(), ["reservation_id"], span=1000)
 
 
 @query("select evaluation_split, human_verify, count(*) as n from dataset_reservation_samples group by all")
@@ -476,14 +543,10 @@ def quota_targets(spark, sf):
 
 @query()
 def candidate_documents(spark, sf):
-    """Documents to hold out under a budget of 1 % of the corpus, by value per row."""
-    f = cut(S.features(corpus(spark, sf)).select("sample_id", "document", "domain", "length_bucket", "has_math", "has_numbers_units", "has_acronyms"), "documents")
-    flags = F.avg(sum((F.col(c).cast("int") for c in ("has_math", "has_numbers_units", "has_acronyms")), F.lit(0)))
-    docs = f.groupBy("document").agg(F.count("*").alias("n"), F.min(F.coalesce("domain", F.lit("unknown"))).alias("domain"), (2.0 * F.countDistinct("length_bucket") + flags).alias("value"))
-    # The best 50,000 by value per row bound what the driver chooses from; a policy limit of candidates.
-    rows = docs.filter("n > 1").orderBy(F.desc(F.col("value") / F.col("n")), "document").limit(50_000).collect()
-    chosen, _ = S.choose_documents([(r.document, r.domain, r.value) for r in rows], {r.document: r.n for r in rows}, S.holdout_budget(f.count(), 0.01, None), 200)
-    return spark.createDataFrame([(c,) for c in chosen], "document string")
+    """Documents that a reservation may draw from: of 50,000 candidates those of most value per row, each pair within 1 % of its corpus rows."""
+    rows = corpus(spark, sf)
+    pool = cut(S.features(S.random_select(rows, PL.DEFAULT["candidates"]["limit"])).withColumn("domain", F.coalesce(F.nullif("domain", F.lit("")), F.lit("unknown"))), "documents")
+    return PL.held_documents(pool, rows, PL.DEFAULT)[0]
 
 
 def _reservation(spark, sf):
@@ -503,6 +566,123 @@ def reservation_states(spark, sf):
     return PL.allocation_after(registry(spark, sf), _reservation(spark, sf)).groupBy("allocation").agg(F.count("*").alias("n"))
 
 
+# Reads, writes, imports, states and pages.
+
+
+def _round_trip(spark, sf, fmt: str):
+    """Documents with text, written as an upload in *fmt* and read back by the reader of that format."""
+    path = f"{fresh_path(spark, 'round-trip')}.{fmt}"
+    rows = table(spark, sf, "documents").filter("text is not null and text <> '' and lang is not null")
+    W.export(rows, path, fmt, ["doc_id", "text", "lang"])
+    return R.read_any(spark, path, fmt).select(F.col("doc_id").cast("long").alias("doc_id"), F.md5(F.col("text").cast("binary")).alias("text"), "lang")
+
+
+_TRIP = "select doc_id, md5(text) as text, lang from documents where text is not null and text <> '' and lang is not null"
+
+
+@query(_TRIP)
+def jsonl_round_trip(spark, sf):
+    return _round_trip(spark, sf, "jsonl")
+
+
+@query(_TRIP)
+def parquet_round_trip(spark, sf):
+    return _round_trip(spark, sf, "parquet")
+
+
+@query("select id, name, kind, description from sources")
+def csv_round_trip(spark, sf):
+    """Sources as CSV: all columns come back as text, empty ones as null."""
+    path = f"{fresh_path(spark, 'round-trip')}.csv"
+    W.export(table(spark, sf, "sources"), path, "csv", ["id", "name", "kind", "description"])
+    return R.read_any(spark, path, "csv").withColumn("id", F.col("id").cast("int"))
+
+
+@query("select id, sample_id, author from annotations")
+def tsv_round_trip(spark, sf):
+    path = f"{fresh_path(spark, 'round-trip')}.tsv"
+    W.export(table(spark, sf, "annotations"), path, "tsv", ["id", "sample_id", "author"])
+    return R.read_any(spark, path, "tsv").select(F.col("id").cast("long").alias("id"), F.col("sample_id").cast("long").alias("sample_id"), "author")
+
+
+@query("select source, count(*) as n, count(distinct doc_id) as docs from documents group by 1")
+def shards_round_trip(spark, sf):
+    """Documents as shards of at most 2 MB, read back."""
+    path = fresh_path(spark, "shards")
+    W.write_shards(table(spark, sf, "documents"), path, 2_000_000)
+    return R.read_parquet(spark, [path]).groupBy("source").agg(F.count("*").alias("n"), F.countDistinct("doc_id").alias("docs"))
+
+
+@query(f"""select case when b < 0.9 then 'train' when b < 0.95 then 'validation' else 'test' end as split, count(*) as n from (select ({_h('id')} % 1000000) / 1e6 as b from samples where allocation = 'TRAINABLE') group by 1""")
+def snapshot_counts(spark, sf):
+    """Counts in the manifest of a snapshot of the trainable samples."""
+    rows = table(spark, sf, "samples").filter("allocation = 'TRAINABLE'").select(F.col("id").alias("sample_id"), "batch_id")
+    counts = W.write_snapshot(rows, fresh_path(spark, "snapshot"), {"name": "trainable"})["counts"]
+    return spark.createDataFrame([(k, v) for k, v in counts.items() if v], "split string, n long")
+
+
+@query(f"""select 9 as batch_id, source as document_id, lang as src_lang, 'en' as tgt_lang, {_strip('text')} as source_text, doc_type as target_text, n_chars::DOUBLE as quality
+  from documents where length({_strip("coalesce(text, '')")}) > 0 and length(doc_type) > 0""")
+def canonical_import(spark, sf):
+    """Documents projected onto the canonical schema: mapped columns as they are, texts stripped, rows without text dropped."""
+    m = I.Mapping("text", "doc_type", src_lang="lang", quality="n_chars", document_id="source", meta_columns=["batch_id", "no such column"])
+    rows = I.normalize(table(spark, sf, "documents"), m, 9, 1, "xx", "en")
+    return rows.select("batch_id", "document_id", "src_lang", "tgt_lang", "source_text", "target_text", "quality")
+
+
+@query("""select id as sample_id, case when r then 'RESERVED_EVALUATION' when q then 'QUARANTINED' else 'TRAINABLE' end as allocation, case when r then case when d then 'dev' else 'test' end end as evaluation_split, r and g as human_verify
+  from (select id, id in (select sample_id from dataset_reservation_samples) as r, quality < 0.2 and quality is not null as q, id in (select sample_id from dataset_reservation_samples where evaluation_split = 'dev') as d,
+    id in (select sample_id from dataset_reservation_samples where human_verify) as g from samples)""")
+def imported_states(spark, sf):
+    """Allocation, split and review flag that an import gives, from the sets of ids that were reserved and quarantined."""
+    m, s = table(spark, sf, "dataset_reservation_samples"), table(spark, sf, "samples").select(F.col("id").alias("sample_id"), "quality")
+    return A.imported(s, m, s.filter("quality < 0.2"), m.filter("evaluation_split = 'dev'"), m.filter("human_verify")).drop("quality")
+
+
+@query("""select id, case when hit then 'RESERVED_EVALUATION' else allocation end as allocation, case when hit then timestamp '2026-01-01' else reserved_at end as reserved_at, quarantined_at
+  from (select *, allocation = 'TRAINABLE' and id in (select sample_id from annotations) as hit from samples)""")
+def applied_states(spark, sf):
+    """Samples after a run has reserved those with annotations: only trainable ones change, with a stamp."""
+    chosen = table(spark, sf, "annotations").select("sample_id", F.lit(RESERVED).alias("to"), F.to_timestamp_ntz(F.lit("2026-01-01 00:00:00")).alias("at")).filter("sample_id is not null").distinct()
+    return A.applied(table(spark, sf, "samples"), chosen)
+
+
+@query("select id, case when status = 'ignored' then 'IGNORED' else 'TRAINABLE' end as allocation from batches")
+def migrated_states(spark, sf):
+    return table(spark, sf, "batches").select("id", A.migrated(F.col("status")).alias("allocation"))
+
+
+@query("select id, case when id = 3 and status in ('ready', 'rejected') then 'rejected' else status end as status from batches")
+def rejected_batch(spark, sf):
+    """Batches after one of them is rejected."""
+    return V.batch_status(table(spark, sf, "batches"), 3, "rejected").select("id", "status")
+
+
+@query(f"select sample_id, batch_id from {_META} where quality >= 0.5 and {_TRAINABLE} order by sample_id limit 50 offset 100")
+def search_page(spark, sf):
+    """The third page of the trainable rows of good quality."""
+    return D.search(metadata(spark, sf), registry(spark, sf), D.Filters(min_quality=0.5), limit=50, offset=100).select("sample_id", "batch_id")
+
+
+@query("select id, allocation from samples where quality <= 0.4 order by id limit 20 offset 40")
+def metadata_page(spark, sf):
+    """A page of sample metadata."""
+    return V.page(table(spark, sf, "samples"), D.Filters(max_quality=0.4), 20, 40)[1].select("id", "allocation")
+
+
+@query(f"select sample_id, batch_id from {_META} where sample_id = (select min(sample_id) from corpus_rows)")
+def point_lookup(spark, sf):
+    first = table(spark, sf, "corpus_rows").agg(F.min("sample_id")).first()[0]
+    return D.point(metadata(spark, sf), first).select("sample_id", "batch_id")
+
+
+@query(f"""select pair, domain, length_bucket, count(*) as n from (select {_TAG.format('src_lang')} || '-' || {_TAG.format('tgt_lang')} as pair, coalesce(nullif(domain, ''), 'unknown') as domain,
+  {_BUCKET.format("coalesce(len(" + _TOKENS.format('source_text') + "), 0)")} as length_bucket from {_ROWS}) group by all""")
+def cell_counts(spark, sf):
+    """Rows of each (pair, domain, bucket)."""
+    return S.cells_of(S.features(corpus(spark, sf)))
+
+
 # Scans and aggregates over the star schema.
 
 

@@ -6,11 +6,11 @@ from copy import deepcopy
 from typing import Any
 
 DEFAULT: dict[str, Any] = {
-    "selection": {"selector": "heuristic", "share_percent": 2.0, "max_rows": 5000, "dev_share": 0.5, "gold_size": 120, "seed": 42},
+    "selection": {"selector": "heuristic", "share_percent": 2.0, "max_rows": 5000, "dev_share": 0.5, "gold_size": 120, "seed": 42, "diversity": "random"},
     "candidates": {"limit": 50_000, "multiple": 10},
     "dedup": {"minhash_threshold": 0.85, "embedding_threshold": 0.95},
     "documents": {"most": 200, "budget_share": 0.01, "budget_rows": None, "namespace": "source"},
-    "quotas": {"domain_alpha": 0.5, "domain_floor": 50, "length_edges": [0, 50, 120, 300, 1000]},
+    "quotas": {"domain_alpha": 0.5, "domain_floor": 50, "length_edges": [0, 15, 40, 80, 999_999], "bucket_shares": [0.20, 0.35, 0.30, 0.15]},
     "contamination": {"comparison_scope": "pair", "contamination_scope": "registry", "shingle_size": 3, "least_shingles": 2, "near_duplicate": 0.92},
 }
 SCOPES = {"comparison_scope": ("pair", "source", "target", "any"), "contamination_scope": ("registry", "dataset")}
@@ -48,6 +48,12 @@ def problems(policy: dict[str, Any]) -> list[str]:
     edges = q["length_edges"]
     if len(edges) < 2 or any(a >= b for a, b in zip(edges, edges[1:])):
         out.append("quotas.length_edges must ascend")
+    if len(q["bucket_shares"]) != len(edges) - 1:
+        out.append("quotas.bucket_shares must have a share for each bucket")
+    if s["selector"] not in ("heuristic", "random"):
+        out.append("selection.selector must be heuristic or random")
+    if s["diversity"] not in ("random", "kcenter"):
+        out.append("selection.diversity must be random or kcenter")
     for k, allowed in SCOPES.items():
         if c[k] not in allowed:
             out.append(f"contamination.{k} must be one of {', '.join(allowed)}")

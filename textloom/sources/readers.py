@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import csv
 import io
+import json
 import posixpath
 import re
 import zipfile
@@ -80,13 +81,23 @@ def read_delimited_lenient(spark: SparkSession, path: str, separator: str = ",")
     return parsed.select(*[F.col("fields")[n].alias(n) for n in [*order, *sorted(set(names) - set(order))]])
 
 
+def _first_list(path: str, text: str) -> str | None:
+    """Name of the first member of a JSON object that is a list, in the order of the document."""
+    data = json.loads(text)
+    return next((k for k, v in data.items() if isinstance(v, list)), None) if isinstance(data, dict) else None
+
+
 def read_json(spark: SparkSession, path: str) -> DataFrame:
     """A JSON document: a list of rows, or an object whose first list is the rows; else the object is one row."""
     df = spark.read.json(path, multiLine=True)
-    for f in df.schema.fields:
-        if isinstance(f.dataType, T.ArrayType) and isinstance(f.dataType.elementType, T.StructType):
-            return df.select(F.inline(f.name))
-    return df
+    lists = [f.name for f in df.schema.fields if isinstance(f.dataType, T.ArrayType)]
+    if not lists:
+        return df
+    name = lists[0]
+    if len(lists) > 1:  # the schema is sorted by name; the document says which comes first
+        name = spark.read.text(path, wholetext=True).rdd.map(lambda r: _first_list(path, r[0])).first() or name
+    kind = next(f.dataType for f in df.schema.fields if f.name == name)
+    return df.select(F.inline(name)) if isinstance(kind.elementType, T.StructType) else df.select(F.explode(name).alias("value"))
 
 
 def read_tmx(spark: SparkSession, path: str) -> DataFrame:

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import re
 import tempfile
 import uuid
 
@@ -9,10 +10,15 @@ from pyspark.sql import DataFrame, SparkSession
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder in ``spark.checkpoint.dir``; only where none is set (tests, one machine) an own one."""
+    """The folder in ``spark.checkpoint.dir``; only where none is set and Spark runs in one process (tests) an own one.
+
+    On a cluster a folder of one machine is none that executors share: an error.
+    """
     folder = spark.conf.get("spark.checkpoint.dir", None)
     if not folder:
         current = spark.sparkContext._jsc.sc().getCheckpointDir()
+        if not current.isDefined() and not re.match(r"local(\[|$)", spark.sparkContext.master):
+            raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
         folder = current.get() if current.isDefined() else tempfile.mkdtemp(prefix="textloom-")
         spark.conf.set("spark.checkpoint.dir", folder)
     return folder.rstrip("/")
