@@ -4,6 +4,7 @@ import json
 import os
 import random
 
+import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
@@ -158,6 +159,14 @@ def test_digest_is_of_ranges(spark):
 def test_embedding_links_and_k_center(spark):
     v = spark.createDataFrame([(1, [1.0, 0.0], "c"), (2, [0.999, 0.01], "c"), (3, [0.0, 1.0], "c"), (4, [0.0, 0.0], "c"), (5, None, "c")], "id long, v array<double>, cell string")
     assert {(r.a, r.b) for r in S.embedding_links(v, "id", "v", 0.95, tables=8, bits=4).collect()} == {(1, 2)}
+    rng = random.Random(4)
+    base = [[rng.gauss(0, 1) for _ in range(24)] for _ in range(60)]
+    near = [(i, [x + rng.gauss(0, 0.12) for x in base[i % 60]], "g") for i in range(240)]
+    unit = np.array([x for _, x, _ in near]) / np.linalg.norm([x for _, x, _ in near], axis=1, keepdims=True)
+    want = {(a, b) for a in range(240) for b in range(a + 1, 240) if unit[a] @ unit[b] >= 0.95}
+    found = {(r.a, r.b) for r in S.embedding_links(spark.createDataFrame(near, "id long, v array<double>, cell string"), "id", "v", 0.95).collect()}
+    assert found <= want and len(found) >= 0.98 * len(want) > 100
+    assert S.lsh_shape(10**9, 0.95)[1] == 20 and S.lsh_shape(100, 0.95)[1] == 8
     picked = [r.id for r in S.k_center(v.filter("id < 4"), "id", "v", "cell", 2).orderBy("step").collect()]
     assert len(set(picked)) == 2 and 3 in picked
 
@@ -242,6 +251,21 @@ def test_registered_reservation_keeps_the_default_sizes(spark, monkeypatch):
     assert target == 5_000 and S.candidate_limit(318_560, target, **p["candidates"]) == 50_000
 
 
+def test_scan_decides_by_cosine(spark):
+    held = "the committee agreed on a new harbour for the northern islands after a long debate in spring"
+    rows = [(1, held), (2, held.replace("spring", "summer")), (3, "the committee agreed on a new road while nobody in the valley had asked for one at all"), (4, None), (5, "")]
+    df = spark.createDataFrame([(i, 1, "en", "de", None, t, f"nur {i} eins") for i, t in rows], "sample_id long, source_id int, src_lang string, tgt_lang string, document_id string, source_text string, target_text string")
+    got = lambda **k: {r.sample_id: r.reason for r in C.scan(df, df.filter("sample_id = 1"), **k).collect()}
+    assert got() == {2: "near_source"} and got(cosine=False) == {2: "shingles_source", 3: "shingles_source"} and got(least=None) == {}
+
+
+def test_vectors_are_kept_by_text(spark):
+    from textloom.functions.embedding import cached
+
+    a, b = (spark.createDataFrame([(1, t)], "id long, t string") for t in ("one text", "another"))
+    assert cached(a, "id", "t", "n").first().v == cached(a, "id", "t", "n").first().v != cached(b, "id", "t", "n").first().v
+
+
 def test_vectors_and_evaluation_sets(spark):
     from textloom.functions.embedding import embedded
     from textloom.operators import evalset as V

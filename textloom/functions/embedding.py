@@ -10,7 +10,8 @@ from .language import nfkc
 from ..storage import shared_dir
 
 
-def _vectors(texts: list[str | None], dims: int, sizes: tuple[int, ...]) -> np.ndarray:
+def text_vectors(texts: list[str | None], dims: int = 256, sizes: tuple[int, ...] = (2, 3, 4)) -> np.ndarray:
+    """Unit vectors of the texts, a row each; zero for a text without words."""
     out = np.zeros((len(texts), dims), np.float32)
     for i, t in enumerate(texts):
         words = (t or "").lower().split()
@@ -33,15 +34,16 @@ def embedded(rows: DataFrame, id_col: str, text_col: str, dims: int = 256, sizes
 
     def run(batches):
         for pdf in batches:
-            yield pd.DataFrame({"id": pdf["id"], "v": list(_vectors(pdf["t"].tolist(), dims, sizes))})
+            yield pd.DataFrame({"id": pdf["id"], "v": list(text_vectors(pdf["t"].tolist(), dims, sizes))})
 
     got = rows.select(F.col(id_col).cast("long").alias("id"), nfkc(F.col(text_col).cast("string")).alias("t")).mapInPandas(run, "id long, v array<float>")
     return got.withColumnRenamed("id", id_col)
 
 
 def cached(rows: DataFrame, id_col: str, text_col: str, name: str, dims: int = 256) -> DataFrame:
-    """The vectors from the shared folder, computed there once under *name* and the configuration."""
+    """The vectors from the shared folder, computed there once under *name*, the configuration and the texts they are of."""
     spark = rows.sparkSession
-    path = f"{shared_dir(spark)}/embeddings/{name}-{dims}"
+    of = rows.agg(F.count("*"), F.expr(f"bit_xor(xxhash64({id_col}, {text_col}))")).first()
+    path = f"{shared_dir(spark)}/embeddings/{name}-{dims}-{of[0]}-{(of[1] or 0) & 0xFFFFFFFFFFFFFFFF:016x}"
     embedded(rows, id_col, text_col, dims).write.mode("ignore").parquet(path)
     return spark.read.parquet(path)

@@ -7,6 +7,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, functions as F
 
 from ..functions import language as L
+from ..functions.embedding import text_vectors
 from ..storage import cut, small_enough
 
 #: Reference rows up to this many are broadcast; beyond, joins shuffle.
@@ -39,11 +40,26 @@ def same_row_gate(rows: DataFrame, row_id: str, text: Column, reference: DataFra
     return hits.groupBy(row_id).agg(F.max("shared").alias("best")).filter(F.col("best") >= least)
 
 
-def scan(rows: DataFrame, reserved: DataFrame, scope: str = "pair", least: int | None = 2, key=L.text_key) -> DataFrame:
+def near_texts(pairs: DataFrame, threshold: float) -> DataFrame:
+    """(sample_id, cosine) of the pairs (sample_id, a, b) whose texts' hashed n-gram vectors reach the cosine."""
+
+    def run(batches):
+        for pdf in batches:
+            for lo in range(0, len(pdf), 1000):
+                p = pdf.iloc[lo : lo + 1000]
+                got = (text_vectors(p["a"].tolist()) * text_vectors(p["b"].tolist())).sum(1)
+                ok = got >= threshold
+                yield pd.DataFrame({"sample_id": p["sample_id"].to_numpy()[ok], "cosine": got[ok].astype(float)})
+
+    return pairs.select("sample_id", L.nfkc(F.col("a")).alias("a"), L.nfkc(F.col("b")).alias("b")).mapInPandas(run, "sample_id long, cosine double")
+
+
+def scan(rows: DataFrame, reserved: DataFrame, scope: str = "pair", least: int | None = 2, key=L.text_key, cosine: bool = True) -> DataFrame:
     """(sample_id, reason) of the rows to quarantine for *reserved*, the first reason that holds:
 
-    exact target (any group), exact source or held document (in the row's group), shingles of the source, else of
-    the target, with one reserved row of the group (not at all if *least* is None).  Selected rows are skipped.
+    exact target (any group), exact source or held document (in the row's group), near source, else near target: of a
+    row that shares *least* shingles with one reserved row of the group (not at all if None), the cosine with the one
+    that it shares most with reaches the scope's threshold (``cosine=False``: the shingles decide).  Selected rows are skipped.
     """
     reserved = cut(reserved.select("sample_id", "source_id", "src_lang", "tgt_lang", "document_id", "source_text", "target_text"), "scan-reserved")
     keyed = rows.join(_side(reserved.select("sample_id").distinct()), "sample_id", "left_anti").withColumn("_g", L.comparison_group(scope, F.col("src_lang"), F.col("tgt_lang")))
@@ -64,7 +80,11 @@ def scan(rows: DataFrame, reserved: DataFrame, scope: str = "pair", least: int |
         refs = ref.select(F.col("sample_id").alias("ref"), "_g", F.explode(L.shingles(L.tokens(F.col(c)))).alias("s")).select("ref", F.xxhash64("_g", "s").alias("s")).distinct()
         refs = cut(refs, "scan-shingles")
         hits = posted.join(_side(refs), "s").groupBy("sample_id", "ref").agg(F.count("*").alias("n")).filter(F.col("n") >= least)
-        found = found.unionByName(hits.select("sample_id", F.lit(rank).alias("rank"), F.lit(f"shingles_{side}").alias("reason")))
+        if cosine:
+            best = hits.groupBy("sample_id").agg(F.max_by("ref", F.struct("n", -F.col("ref"))).alias("ref"))
+            pairs = best.join(keyed.select("sample_id", F.col(c).alias("a")), "sample_id").join(ref.select(F.col("sample_id").alias("ref"), F.col(c).alias("b")), "ref")
+            hits = near_texts(pairs, L.cosine_thresholds(scope)[side])
+        found = found.unionByName(hits.select("sample_id", F.lit(rank).alias("rank"), F.lit(f"{'near' if cosine else 'shingles'}_{side}").alias("reason")).distinct())
     return found.groupBy("sample_id").agg(F.min_by("reason", "rank").alias("reason"))
 
 

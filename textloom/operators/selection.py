@@ -17,7 +17,7 @@ from .ranking import first_by_hash, keep_first
 from ..functions import language as L, postings as P
 from ..hashing import portable_hash
 from ..policy import DEFAULT, for_pair
-from ..storage import cut
+from ..storage import cut, forget
 
 
 def target_size(rows: int, percent: float, most: int, exact: int | None = None) -> int:
@@ -106,10 +106,12 @@ def keep_unlinked(ids: DataFrame, links: DataFrame) -> DataFrame:
         if lost.isEmpty():
             break
         dropped = lost if dropped is None else dropped.unionByName(lost)
-        settled = kept.unionByName(lost)
+        settled = cut(kept.unionByName(lost), "keep-settled")
+        before = undecided, open_links
         undecided = cut(undecided.join(settled, "id", "left_anti"), "keep-undecided")
         # A link from a dropped id blocks nobody any more.
         open_links = cut(open_links.join(settled.withColumnRenamed("id", "a"), "a", "left_anti").join(lost.withColumnRenamed("id", "b"), "b", "left_anti"), "keep-links")
+        forget(*before, settled)
     return ids if dropped is None else ids.join(dropped, "id", "left_anti")
 
 
@@ -155,11 +157,23 @@ def minhash_links(rows: DataFrame, id_col: str, text: Column, group: Column, thr
     return near.unionByName(same.distinct())
 
 
-def embedding_links(vectors: DataFrame, id_col: str, vector_col: str, threshold: float, group: Column | None = None, tables: int = 24, bits: int = 8, seed: int = 5) -> DataFrame:
+def lsh_shape(rows: int, threshold: float, recall: float = 0.995) -> tuple[int, int]:
+    """(tables, bits): codes that keep about 64 vectors apart from the rest, in tables enough to meet a pair at the threshold with *recall*."""
+    bits = min(20, max(8, math.ceil(math.log2(max(rows, 1) / 64))))
+    same = (1 - math.acos(min(threshold, 1.0)) / math.pi) ** bits
+    return max(1, math.ceil(math.log(1 - recall) / math.log1p(-min(same, 1 - 1e-9)))), bits
+
+
+def embedding_links(vectors: DataFrame, id_col: str, vector_col: str, threshold: float, group: Column | None = None, tables: int | None = None, bits: int | None = None, seed: int = 5) -> DataFrame:
     """(a, b, cosine): vectors of one group that share a random-hyperplane code in some table, by exact cosine.
 
-    Codes are computed in blocks; pairs of equal codes meet in a join.
+    Codes lengthen with the number of vectors, tables with them, so that what
+    meets in a code stays about as many.  Codes are computed in blocks; pairs of
+    equal codes meet in a join, hot codes in salted blocks.
     """
+    rows = vectors.select(F.col(id_col).cast("long").alias("id"), (F.lit("") if group is None else group).cast("string").alias("g"), F.col(vector_col).cast("array<double>").alias("v")).filter("v is not null")
+    shape = lsh_shape(rows.count(), threshold)
+    tables, bits = tables or shape[0], bits or shape[1]
     dim = vectors.select(F.size(vector_col)).first()
     planes = np.random.default_rng(seed).standard_normal((tables * bits, dim[0] if dim else 1))
 
@@ -170,12 +184,12 @@ def embedding_links(vectors: DataFrame, id_col: str, vector_col: str, threshold:
             code = (sign * (1 << np.arange(bits))).sum(2) + (np.arange(tables) << bits)
             yield pd.DataFrame({"id": pdf["id"], "g": pdf["g"], "v": pdf["v"], "codes": list(code.astype(np.int64))})
 
-    rows = vectors.select(F.col(id_col).cast("long").alias("id"), (F.lit("") if group is None else group).cast("string").alias("g"), F.col(vector_col).cast("array<double>").alias("v")).filter("v is not null")
     coded = cut(rows.mapInPandas(codes, "id long, g string, v array<double>, codes array<long>"), "embedding-codes")
-    posted = coded.select("id", "g", F.explode("codes").alias("k"))
-    pairs = posted.alias("x").join(posted.alias("y"), (F.col("x.k") == F.col("y.k")) & F.col("x.g").eqNullSafe(F.col("y.g")) & (F.col("x.id") < F.col("y.id"))).select(F.col("x.id").alias("a"), F.col("y.id").alias("b")).distinct()
-    left, right = coded.select(F.col("id").alias("a"), F.col("v").alias("va")), coded.select(F.col("id").alias("b"), F.col("v").alias("vb"))
-    return pairs.join(left, "a").join(right, "b").withColumn("cosine", cosine(F.col("va"), F.col("vb"))).filter(F.col("cosine") >= threshold).select("a", "b", "cosine")
+    posted = cut(coded.select("id", F.explode("codes").alias("c"), "g").select("id", F.xxhash64("g", "c").alias("k")), "embedding-postings")
+    pairs = P.keyed_pairs(posted, posted, F.col("x.id") < F.col("y.id"), "embedding").select(F.col("x.id").alias("a"), F.col("y.id").alias("b")).distinct()
+    left, right = coded.select(F.col("id").alias("a"), F.col("v").alias("va"), F.col("g").alias("ga")), coded.select(F.col("id").alias("b"), F.col("v").alias("vb"), F.col("g").alias("gb"))
+    near = pairs.join(left, "a").join(right, "b").filter(F.col("ga").eqNullSafe(F.col("gb")))
+    return near.withColumn("cosine", cosine(F.col("va"), F.col("vb"))).filter(F.col("cosine") >= threshold).select("a", "b", "cosine")
 
 
 def dot(a: Column, b: Column) -> Column:
@@ -386,7 +400,8 @@ def k_center(vectors: DataFrame, id_col: str, vector_col: str, cell_col: str, k:
         chosen = pick if chosen is None else chosen.unionByName(pick)
         if step + 1 < k:
             near = 1 - cosine(F.col("v"), F.col("c_v"))
-            state = cut(state.join(F.broadcast(far), "cell").select("cell", "id", "v", F.when(F.col("id") == F.col("c_id"), -1.0).when(F.col("d") < 0, F.col("d")).otherwise(F.least("d", near)).alias("d")), "kcenter-state")
+            before, state = state, cut(state.join(F.broadcast(far), "cell").select("cell", "id", "v", F.when(F.col("id") == F.col("c_id"), -1.0).when(F.col("d") < 0, F.col("d")).otherwise(F.least("d", near)).alias("d")), "kcenter-state")
+            forget(before)
     return chosen
 
 
