@@ -23,7 +23,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, functions as F
 
 from ..hashing import unit_hash
-from ..storage import cut
+from ..storage import cut, forget
 
 PROPORTIONS = {"train": 0.8, "validation": 0.1, "test": 0.1}
 # How a piece of a document is marked behind its base name.
@@ -51,7 +51,8 @@ def hash_to_min(links: DataFrame) -> DataFrame:
         sent = clusters.join(least, "a")
         to_least = sent.select(F.col("m").alias("a"), "b")
         to_all = sent.select(F.col("b").alias("a"), F.col("m").alias("b"))
-        clusters = cut(to_least.unionByName(to_all).distinct(), "p2-clusters")
+        old, clusters = clusters, cut(to_least.unionByName(to_all).distinct(), "p2-clusters")
+        forget(old)
     return clusters.groupBy("a").agg(F.min("b").alias("component")).withColumnRenamed("a", "node")
 
 
