@@ -259,6 +259,44 @@ def test_scan_decides_by_cosine(spark):
     assert got() == {2: "near_source"} and got(cosine=False) == {2: "shingles_source", 3: "shingles_source"} and got(least=None) == {}
 
 
+def test_scan_finds_the_best_row_in_blocks(spark):
+    import random
+    from collections import Counter
+
+    rng = random.Random(3)
+    text = lambda: " ".join(rng.choice("abc") for _ in range(rng.randrange(9)))
+    shingles = lambda t: {t[i : i + 5] for i in range(0, len(t) - 4, 2)} if len(t) >= 5 else {t} - {""}
+    rows, refs = ([(base + i, rng.choice("gh"), text()) for i in range(n)] for base, n in ((0, 60), (1000, 40)))
+    want = {}
+    for i, g, t in rows:
+        shared = Counter({r: len(shingles(t) & shingles(u)) for r, h, u in refs if g == h})
+        ref, n = min(shared.items(), key=lambda x: (-x[1], x[0]))
+        if n >= 2:
+            want[i] = (ref, n)
+    x, r = (spark.createDataFrame(v, f"{i} long, g string, key string").filter("key <> ''") for i, v in (("sample_id", rows), ("ref", refs)))
+    for blocks in ((20_000, 8_000), (7, 5)):
+        assert {v.sample_id: (v.ref, v.n) for v in C.best_shared(x, r, 2, *blocks).collect()} == want and want
+
+
+def test_cut_leaves_no_shuffle_files(spark):
+    from textloom import storage
+
+    key, seen = storage.CLEANUP, []
+    made = spark.range(100).repartition(3)
+
+    class Watch:
+        def __getattr__(self, name):
+            return getattr(made, name)
+
+        @property
+        def write(self):
+            seen.append(spark.conf.get(key))
+            return made.write
+
+    before = spark.conf.get(key)
+    assert storage.cut(Watch(), "t").count() == 100 and seen == ["true"] and spark.conf.get(key) == before
+
+
 def test_vectors_are_kept_by_text(spark):
     from textloom.functions.embedding import cached
 
