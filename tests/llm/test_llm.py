@@ -87,6 +87,38 @@ def test_posting_keys_meet_whatever_is_hot():
         assert int(bits[0] ^ bits[1]).bit_count() <= len(set(base) ^ set(other))
 
 
+def test_passes_cover_every_slice_within_the_bound(spark):
+    table = spark.range(4000).selectExpr("xxhash64(id) as k", "id")
+
+    def run(lo, hi):
+        part = pairs.in_slices(table, lo, hi)
+        return part, part.count()
+
+    for a_class, least in ((100, 2), (1, 5), (0, pairs.SLICES)):
+        got = pairs.passes(run, 1000, a_class=a_class)
+        assert len(got) >= least and sorted(r.id for part in got for r in part.collect()) == list(range(4000))
+        assert a_class == 0 or max(part.count() for part in got) <= 1000 * a_class * 1.25
+
+
+def _counted(monkeypatch, of) -> list[int]:
+    got, real = [], pairs.term_counts
+    with monkeypatch.context() as m:
+        m.setattr(pairs, "term_counts", lambda *a: got.append(int((c := real(*a)).sum())) or c)
+        of()
+    return got
+
+
+def test_overlap_counts_words_by_class(spark, monkeypatch):
+    rows = corpus(5)[:60]
+
+    def linked(copies):
+        df = spark.createDataFrame([(i + 100_000 * k, s, t) for i, s, t in rows for k in range(copies)], "id long, s string, t string")
+        sides = df.selectExpr("id", "id % 2 = 0 as in_a", "id % 2 = 1 as in_b").distinct()
+        return lambda: overlap.links_between(df, sides, "id", "s", "t")
+
+    assert _counted(monkeypatch, linked(1)) == _counted(monkeypatch, linked(3))
+
+
 def test_history_grows_by_batches(spark, tmp_path):
     rows = corpus(9)
     sets = {k: pairs.word_sets(spark.createDataFrame([r for r in rows if r[0] % 3 == k], "id long, s string, t string"), "id", "s", "t").cache() for k in range(3)}
