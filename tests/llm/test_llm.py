@@ -119,6 +119,17 @@ def test_overlap_counts_words_by_class(spark, monkeypatch):
     assert _counted(monkeypatch, linked(1)) == _counted(monkeypatch, linked(3))
 
 
+def test_history_counts_words_by_class(spark, monkeypatch):
+    rows = corpus(5)[:60]
+
+    def probed(copies):
+        df = spark.createDataFrame([(i + 99_999 * k, s, t) for i, s, t in rows for k in range(copies)], "id long, s string, t string")
+        state = df.selectExpr("id", "id % 3 = 0 as arriving", "id % 3 <> 0 as accepted").distinct()
+        return lambda: history.against_history(df, state, "id", "s", "t").count()
+
+    assert _counted(monkeypatch, probed(1)) == _counted(monkeypatch, probed(3))
+
+
 def test_history_grows_by_batches(spark, tmp_path):
     rows = corpus(9)
     sets = {k: pairs.word_sets(spark.createDataFrame([r for r in rows if r[0] % 3 == k], "id long, s string, t string"), "id", "s", "t").cache() for k in range(3)}
