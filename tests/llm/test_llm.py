@@ -358,6 +358,13 @@ def test_defects_of_few_pairs(spark):
         assert {r.id for r in defects.classified(pairs_, defects.fit(pairs_, table), table).collect()} <= {1, 2, 3, 4}
 
 
+def test_defects_learn_from_all_pairs(spark):
+    """25 pairs of a language pair among 30,000 others give its usual length ratio; an ending that 100 of them share is known."""
+    rows = spark.range(30_000).selectExpr("id", "concat('a b c d ', id) as source", "concat('e f ', translate(md5(string(id)), '0123456789', 'ghijklmnop'), if(id % 300 = 0, ' p q r s.', ' t.')) as target", "if(id % 1200 = 0, 'xx-yy', 'en-de') as pair", "0 as kind")
+    model = defects.fit(rows, np.zeros(langid.SLOTS, np.uint16))
+    assert model.features.ratio["xx-yy"] > model.features.ratio["en-de"] and 100 in model.features.tails[1].tolist() and 29_900 in model.features.tails[1].tolist()
+
+
 def test_defects_held_out(spark):
     """Recall of each defect on pairs, and for refusals on responses, that training never saw."""
     from textloom.llm import queries as Q
