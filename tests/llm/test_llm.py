@@ -130,6 +130,19 @@ def test_history_counts_words_by_class(spark, monkeypatch):
     assert _counted(monkeypatch, probed(1)) == _counted(monkeypatch, probed(3))
 
 
+def test_history_shuffles_only_postings_of_the_batch(spark, monkeypatch):
+    """A batch too large to broadcast: of the index only postings that may meet it are shuffled, and all pairs are found."""
+    rows = corpus(5)
+    df = spark.createDataFrame(rows, "id long, s string, t string")
+    state = df.selectExpr("id", "id % 10 = 0 as arriving", "id % 10 <> 0 as accepted").distinct()
+    found = lambda: {(r.id_new, r.id_old) for r in history.against_history(df, state, "id", "s", "t").collect()}
+    want, sizes, real = found(), [], pairs.keyed_pairs
+    monkeypatch.setattr(history, "BROADCAST_POSTINGS", 0)
+    monkeypatch.setattr(pairs, "BROADCAST_IDS", 0)
+    monkeypatch.setattr(pairs, "keyed_pairs", lambda x, y, *a, **k: sizes.append((y.count(), y.join(x.select("k").distinct(), "k", "left_semi").count())) or real(x, y, *a, **k))
+    assert found() == want and want and sum(a for a, _ in sizes) <= 1.2 * sum(b for _, b in sizes) + 20
+
+
 def test_history_grows_by_batches(spark, tmp_path):
     rows = corpus(9)
     sets = {k: pairs.word_sets(spark.createDataFrame([r for r in rows if r[0] % 3 == k], "id long, s string, t string"), "id", "s", "t").cache() for k in range(3)}
