@@ -143,6 +143,12 @@ def test_history_shuffles_only_postings_of_the_batch(spark, monkeypatch):
     assert found() == want and want and sum(a for a, _ in sizes) <= 1.2 * sum(b for _, b in sizes) + 20
 
 
+def test_defect_blocks_are_taken():
+    texts, rows = ["a b 12 a", "", None, "c d", "b a 7"], np.array([0, 0, 2, 4])
+    got, want = defects.Block(pa.array(texts, pa.large_string())).take(rows), defects.Block(pa.array([texts[i] for i in rows], pa.large_string()))
+    assert all((getattr(got, k) == getattr(want, k)).all() for k in ("words", "number", "first", "size", "row", "key", "distinct"))
+
+
 def test_history_grows_by_batches(spark, tmp_path):
     rows = corpus(9)
     sets = {k: pairs.word_sets(spark.createDataFrame([r for r in rows if r[0] % 3 == k], "id long, s string, t string"), "id", "s", "t").cache() for k in range(3)}
