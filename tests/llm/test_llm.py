@@ -1,5 +1,6 @@
 """Training-data operators against brute force, round trips and held-out cases."""
 
+import collections
 import itertools
 import random
 
@@ -384,6 +385,49 @@ def test_defects_learn_from_all_pairs(spark):
     assert model.features.ratio["xx-yy"] > model.features.ratio["en-de"] and 100 in model.features.tails[1].tolist() and 29_900 in model.features.tails[1].tolist()
 
 
+def test_endings_of_a_block_are_those_of_its_texts():
+    pieces = list(".!?؟。۔…[]()\"'”“»*_>`|,;:-–—،؛ \t\n\r\u00a0\u2028\x1caZ19²٣𝟗😀") + ["...", " ", "\n", ". ", "[…]", "[...]"]
+    rng = random.Random(1)
+    texts = ["".join(rng.choice(pieces) for _ in range(rng.randrange(14))) for _ in range(20_000)] + ["", None]
+    assert defects._endings(pa.array(texts, pa.large_string())).tolist() == [list(defects._ending(t or "")) for t in texts]
+    assert defects._endings(pa.array([None], pa.large_string())).tolist() == [[3, 0, 0]] and len(defects._endings(pa.array([], pa.large_string()))) == 0
+
+
+def test_numbers_and_members_of_a_block():
+    b = defects.Block(pa.array(["1 12 123 1a2 a1 1a ١٢٣ 12345", "", "x 7"], pa.large_string()))
+    assert b.number.tolist() == [True, True, True, False, False, False, True, True, False, True]
+    values = np.random.default_rng(3).integers(-50, 50, 1000)
+    for table in ([], [7], list(range(-20, 30, 3))):
+        assert (defects._member(values, np.array(table, np.int64)) == np.isin(values, table)).all()
+    assert all((x == y).all() for x, y in zip(tb.distinct(values), np.unique(values, return_counts=True))) and not len(tb.distinct(values[:0])[0])
+
+
+def test_defects_read_responses_once_and_count_few_pairs(spark, monkeypatch):
+    """The letters of responses are matched once; of word pairs only those of recurring responses are counted, and all of them."""
+    rows = spark.range(4000).selectExpr("id", "concat(repeat('a b ', int(id % 9)), id) as source", "if(id % 40 = 0, 'I can not help', concat('e f not help ', translate(md5(string(id)), '0123456789', ' klm nop q'))) as target", "'en-de' as pair", "0 as kind")
+    counted, plans, real = {}, {}, defects.cut
+
+    def cut(df, name):
+        plans[name] = df._jdf.queryExecution().toString()
+        out = real(df, name)
+        if name == "p5-counts":
+            for kind in (0, 1):
+                counted[kind] = {r.h: r.n for r in out.filter(f"kind = {kind} and sound > 0").groupBy("h").agg(F.sum("sound").alias("n")).collect()}
+        return out
+
+    monkeypatch.setattr(defects, "cut", cut)
+    monkeypatch.setattr(defects, "GATHERED", 5000, raising=False)
+    model = defects.fit(rows, np.zeros(langid.SLOTS, np.uint16))
+    assert [name for name, plan in plans.items() if "regexp_replace" in plan] == ["p5-pairs"]
+    texts = [r.target for r in rows.collect()]
+    words = [tb.hashed_words(pa.array([t], pa.large_string()))[0] for t in texts if t != "I can not help"]
+    want = collections.Counter(w for x in words for w in x.tolist())
+    assert counted[0] == want
+    said = defects._hash("not help")
+    assert counted[1][int(defects._pair_hash(said[:1], said[1:]).view(np.int64)[0])] == len(words) and len(counted[1]) < 50
+    assert len(model.features.refusal["all"][0])
+
+
 def test_defects_held_out(spark):
     """Recall of each defect on pairs, and for refusals on responses, that training never saw."""
     from textloom.llm import queries as Q

@@ -107,8 +107,9 @@ def train(texts: DataFrame, languages: tuple[str, ...] = LANGUAGES) -> np.ndarra
                 s, e, first = tb.words(f, offs)
                 g, word = grams(f, s, e)
                 of = np.repeat(lang[lo:hi], np.diff(first))[word]
-                pair, n = np.unique(np.stack([g.view(np.int64), of.astype(np.int64)], 1), axis=0, return_counts=True) if len(g) else (np.zeros((0, 2), np.int64), np.zeros(0, np.int64))
-                yield pa.RecordBatch.from_arrays([pa.array(pair[:, 0]), pa.array(pair[:, 1].astype(np.int32)), pa.array(n)], ["g", "lang", "n"])
+                for i in range(len(languages)):
+                    each, n = tb.distinct(g[of == i])
+                    yield pa.RecordBatch.from_arrays([pa.array(each.view(np.int64)), pa.array(np.full(len(each), i, np.int32)), pa.array(n)], ["g", "lang", "n"])
 
     counts = cut(sample.mapInArrow(count, "g long, lang int, n long").groupBy("g", "lang").agg(F.sum("n").alias("n")), "langid-counts")
     total = dict(counts.groupBy("lang").agg(F.sum("n")).collect())
